@@ -11,21 +11,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.exact_dedup import exact_groups
 
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.near_dedup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"), threshold=0.85)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from docloom.llm.lineage import shared_path
+    from docloom.llm.token_files import crc32_of_ids, read_tokens, write_tokens
+
+    path = shared_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return crc32_of_ids(read_tokens(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {

@@ -16,7 +16,9 @@ import pyarrow as pa
 
 from docloom.llm.textvec import SLICE_BYTES, Slice, range_hashes, slices
 
+TABLE_BITS = 22
 CACHE_PIECES = 1_500_000
+_SLOTS = np.uint64((1 << TABLE_BITS) - 1)
 #: First bytes of code points among which Unicode has white space beyond ASCII.
 _MAY_BLANK = np.zeros(256, bool)
 _MAY_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -80,11 +82,39 @@ class Encoder:
         return cls._known[path, end_id]
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        """An empty open-addressing table: key and entry number per slot; entries hold where ids are and how many."""
+        self.slot_key = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.slot_entry = np.full(1 << TABLE_BITS, -1, np.int32)
         self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry numbers of keys, -1 where unknown."""
+        slot = (keys & _SLOTS).astype(np.int64)
+        entry = self.slot_entry[slot]
+        astray = np.flatnonzero((entry >= 0) & (self.slot_key[slot] != keys))
+        while len(astray):
+            step = (slot[astray] + 1) & int(_SLOTS)
+            slot[astray] = step
+            got = self.slot_entry[step]
+            entry[astray] = got
+            astray = astray[(got >= 0) & (self.slot_key[step] != keys[astray])]
+        return entry
+
+    def _insert(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        slot = (keys & _SLOTS).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot_entry[slot[todo]] < 0]
+            self.slot_entry[slot[free]] = entries[free]  # of keys that want one slot the last stays
+            won = free[self.slot_entry[slot[free]] == entries[free]]
+            self.slot_key[slot[won]] = keys[won]
+            lost = np.ones(len(keys), bool)
+            lost[won] = False
+            todo = todo[lost[todo]]
+            slot[todo] = (slot[todo] + 1) & int(_SLOTS)
+
     def _sizes_joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of many pieces encoded as a few long texts, a separator that encodes to one known id between them."""
         length = ends - starts + len(self.separator)
@@ -106,8 +136,8 @@ class Encoder:
             return None
         return np.diff(np.flatnonzero(stop), prepend=-1) - 1, ids[~stop]
 
-    def _learn(self, piece: Slice, where: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encodes unseen pieces and inserts their keys at `where` of the sorted keys."""
+    def _learn(self, piece: Slice, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes unseen distinct pieces and enters them."""
         odd = np.concatenate([[0], np.cumsum(self.odd[piece.buf])])
         plain = odd[ends] == odd[starts + (piece.buf[starts] == 0x20)]
         done = self._sizes_joined(piece.buf, starts[plain], ends[plain]) if plain.any() else None
@@ -118,30 +148,33 @@ class Encoder:
         texts = [data[a:b].decode("utf-8") for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
         each = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.fromiter((x for e in each for x in e), np.uint32)
-        size, at = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        size, at = np.empty(len(keys), np.int32), np.empty(len(keys), np.int64)
         size[rest] = np.fromiter(map(len, each), np.int64, len(each))
-        at[rest] = len(self.ids) + np.cumsum(size[rest]) - size[rest]
+        at[rest] = len(self.ids) + np.cumsum(size[rest], dtype=np.int64) - size[rest]
         if done is not None:
             size[plain] = done[0]
             at[plain] = len(self.ids) + len(flat) + np.cumsum(done[0]) - done[0]
             flat = np.concatenate([flat, done[1]])
         self.ids = np.concatenate([self.ids, flat])
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self._insert(keys, np.arange(len(self.at), len(self.at) + len(keys), dtype=np.int32))
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
 
     def encode(self, piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice's texts, end ids included, and the offsets of the texts among them."""
         starts, ends, bounds = self.cuts(piece)
         if len(starts):
-            keys, first, which = np.unique(range_hashes(piece.buf, starts, ends), return_index=True, return_inverse=True)
-            if len(self.keys) > CACHE_PIECES:
+            keys = range_hashes(piece.buf, starts, ends)
+            if len(self.at) > CACHE_PIECES:
                 self._forget()
-            where = np.searchsorted(self.keys, keys)
-            new = where >= len(self.keys)
-            new[~new] = self.keys[where[~new]] != keys[~new]
-            if new.any():
-                self._learn(piece, where[new], keys[new], starts[first[new]], ends[first[new]])
-                where = np.searchsorted(self.keys, keys)
-            at, size = self.at[where][which], self.size[where][which]
+            entry = self._find(keys)
+            unknown = np.flatnonzero(entry < 0)
+            for k in range(0, len(unknown), CACHE_PIECES):  # as many as the table takes, even of one very long text
+                some = unknown[k : k + CACHE_PIECES]
+                some = some[self._find(keys[some]) < 0]
+                new, first = np.unique(keys[some], return_index=True)
+                self._learn(piece, new, starts[some[first]], ends[some[first]])
+            entry[unknown] = self._find(keys[unknown])
+            at, size = self.at[entry], self.size[entry].astype(np.int64)
         else:
             at = size = np.zeros(0, np.int64)
         behind = np.concatenate([[0], np.cumsum(size)])
