@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.perplexity import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,12 +60,23 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc32_of_ids(read_tokens(spark, path))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.language import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _remainder(4) == 2
+    model = fit(docs.where(~held_out))
+    return identify(docs, model, keep=["doc_id", held_out.alias("held_out")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {
