@@ -57,14 +57,8 @@ def _codes(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     code = s[:n].copy()
     for k in range(1, ORDER):
         code = code * ALPHABET + s[k : k + n]
-    inside = np.ones(len(s), bool)
-    for k in range(1, ORDER):
-        inside[np.maximum(piece.offsets[1:] - k, piece.offsets[:-1])] &= False
-    # texts shorter than the order lose all their positions
-    short = np.flatnonzero(np.diff(piece.offsets) < ORDER)
-    for i in short.tolist():
-        inside[piece.offsets[i] : piece.offsets[i + 1]] = False
-    return code[inside[:n]], bounds
+    text_end = np.repeat(piece.offsets[1:], np.diff(piece.offsets))[:n]
+    return code[np.arange(n) + ORDER <= text_end], bounds
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:

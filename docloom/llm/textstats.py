@@ -40,13 +40,12 @@ def _lines(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     feed = np.flatnonzero(buf == 0x0A)
     starts = np.unique(np.concatenate([off[:-1][off[:-1] < off[1:]], feed + 1]))
     starts = starts[starts < len(buf)]
-    edges = np.unique(np.concatenate([feed, off[1:]]))
-    ends = edges[np.searchsorted(edges, starts)] if len(starts) else starts
+    # empty texts share an offset with the next text; "right" gives the text that holds the byte
+    text = np.searchsorted(off, starts, "right") - 1
+    ends = np.minimum(np.append(feed, len(buf))[np.searchsorted(feed, starts)], off[text + 1])
     solid = np.concatenate([[0], np.cumsum(~BLANK[buf])])
     wordy = solid[ends] > solid[starts]
-    starts, ends = starts[wordy], ends[wordy]
-    text = np.searchsorted(off, starts, "right") - 1
-    # empty texts share an offset with the next text; "right" gives the one that holds the byte
+    starts, ends, text = starts[wordy], ends[wordy], text[wordy]
     return range_hashes(buf, starts, ends), text, np.bincount(text, minlength=piece.n)
 
 
