@@ -23,6 +23,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.lineage import staged
+    from docloom.llm.rff_quality import fit, score, statistics
+
+    stats = staged(statistics(_table(spark, sf_dir, "documents")), "statistics")
+    model = fit(stats, _table(spark, sf_dir, "labels").where(_remainder(3) != 1))
+    return score(stats, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.toxicity import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    chain = fit(docs, _table(spark, sf_dir, "labels").where(_remainder(3) != 1))
+    return predict(docs, chain).withColumn("held_out", _remainder(3) == 1)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,8 +88,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
