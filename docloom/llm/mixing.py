@@ -29,43 +29,54 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def seats(votes: Column, n: Column) -> Column:
-    """Sainte-Laguë seats (array<bigint>) for array<double> votes >= 0 and n seats in total.
+    """Sainte-Laguë seats (array<bigint>) for array<double> votes >= 0 and n seats in total; both are plain columns.
 
     Seats at divisor d are round(v / d), half up; the divisor is bisected on a
     log scale, then the seats still missing go one each to the votes whose next
     quotient is highest, ties to the earlier position. No votes: no seats.
     """
 
-    def at(d: Column) -> Column:
-        return F.transform(votes, lambda v: F.floor(v / d + F.lit(0.5)).cast("long"))
+
+    def whole(v: Column, d: Column) -> Column:
+        return F.floor(v / d + F.lit(0.5)).cast("long")
 
     def total(d: Column) -> Column:
-        return F.aggregate(votes, F.lit(0).cast("long"), lambda a, v: a + F.floor(v / d + F.lit(0.5)).cast("long"))
+        return F.aggregate(votes, F.lit(0).cast("long"), lambda a, v: a + whole(v, d))
+
+    def halved(s: Column, _: Column) -> Column:
+        return _let(
+            (s["lo"] + s["hi"]) / 2,
+            lambda d: F.when(total(d) > n, F.struct(d.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), d.alias("hi"))),
+        )
+
+    def filled(w: Column) -> Column:
+        """Seats at the higher divisor; what ties at the lower one adds goes in order while seats are left."""
+        start = F.struct((n - F.aggregate(w["s"], F.lit(0).cast("long"), lambda a, x: a + x)).alias("left"), F.array().cast("array<bigint>").alias("out"))
+        pairs = F.arrays_zip(w["s"].alias("s"), w["t"].alias("t"))
+
+        def one(a: Column, x: Column) -> Column:
+            more = F.least(a["left"], x["t"] - x["s"])
+            return F.struct((a["left"] - more).alias("left"), F.concat(a["out"], F.array(x["s"] + more)).alias("out"))
+
+        return F.aggregate(pairs, start, one)["out"]
+
+    def between(all_votes: Column) -> Column:
+        # more than n seats at the low end, none at the high end
+        ends = F.struct((all_votes / (n + F.size(votes) + 1) / 2).alias("lo"), (all_votes * 2 + 1).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(100)), ends, halved)
+
+    def at_both(b: Column) -> Column:
+        return F.struct(F.transform(votes, lambda v: whole(v, b["hi"])).alias("s"), F.transform(votes, lambda v: whole(v, b["lo"])).alias("t"))
 
     all_votes = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v)
-    some = (all_votes > 0) & (n > 0)
-    # more than n seats at the low end, none at the high end
-    low, high = all_votes / (n + F.size(votes) + 1) / 2, all_votes * 2 + 1
-    bracket = F.aggregate(
-        F.sequence(F.lit(1), F.lit(100)),
-        F.struct(low.alias("lo"), high.alias("hi")),
-        lambda s, _: F.when(
-            total((s["lo"] + s["hi"]) / 2) > n,
-            F.struct(((s["lo"] + s["hi"]) / 2).alias("lo"), s["hi"].alias("hi")),
-        ).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).alias("hi"))),
-    )
-    wide = F.struct(votes.alias("v"), at(bracket["hi"]).alias("s"), at(bracket["lo"]).alias("t"), n.alias("n"))
-    # between the two divisors only ties change: they take what is missing, in order
-    filled = F.aggregate(
-        F.sequence(F.lit(1), F.size(wide["v"])),
-        F.struct((wide["n"] - F.aggregate(wide["s"], F.lit(0).cast("long"), lambda a, x: a + x)).alias("left"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, i: F.struct(
-            (a["left"] - F.least(a["left"], F.get(wide["t"], i - 1) - F.get(wide["s"], i - 1))).alias("left"),
-            F.concat(a["out"], F.array(F.get(wide["s"], i - 1) + F.least(a["left"], F.get(wide["t"], i - 1) - F.get(wide["s"], i - 1)))).alias("out"),
-        ),
-    )["out"]
-    return F.when(some, filled).otherwise(F.transform(votes, lambda v: F.lit(0).cast("long")))
+    given = _let(_let(between(all_votes), at_both), filled)
+    return F.when((all_votes > 0) & (n > 0), given).otherwise(F.transform(votes, lambda v: F.lit(0).cast("long")))
 
 
 def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
@@ -113,7 +124,8 @@ def mix(
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     block, blocks = F.lit(int(block_words)), F.round(F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy()) / F.lit(float(block_words))).cast("long")
     listed = targets.withColumn("_blocks", blocks).groupBy().agg(F.sort_array(F.collect_list(F.struct("_rank", "source", "source_size", "target"))).alias("_s"), F.max("_blocks").alias("_blocks"))
-    quota = seats(F.transform("_s", lambda s: s["target"]), F.col("_blocks"))
+    listed = listed.withColumn("_v", F.transform("_s", lambda s: s["target"]))
+    quota = seats(F.col("_v"), F.col("_blocks"))
     shards = F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_words))))).cast("int")
     plan = staged(
         listed.select(F.explode(F.arrays_zip(F.col("_s"), quota.alias("_q"))).alias("x"))
@@ -125,8 +137,9 @@ def mix(
     # shards' sizes, and each shard's quota of its source's blocks
     sized = cell.groupBy("_src", "_shard").agg(F.sum("size").alias("_n"), F.first("_quota").alias("_quota"))
     per_source = sized.groupBy("_src").agg(F.sort_array(F.collect_list(F.struct("_shard", "_n"))).alias("_c"), F.first("_quota").alias("_quota"))
+    per_source = per_source.withColumn("_v", F.transform("_c", lambda c: c["_n"].cast("double")))
     per_shard = staged(
-        per_source.select("_src", F.explode(F.arrays_zip(F.col("_c"), seats(F.transform("_c", lambda c: c["_n"].cast("double")), F.col("_quota")).alias("_q"))).alias("x")).select(
+        per_source.select("_src", F.explode(F.arrays_zip(F.col("_c"), seats(F.col("_v"), F.col("_quota")).alias("_q"))).alias("x")).select(
             F.col("_src").alias("_s2"), F.col("x._c._shard").alias("_h2"), F.col("x._c._n").alias("_n"), F.least(F.col("x._q") * block, (F.lit(float(cap)) * F.col("x._c._n")).cast("long")).alias("_need")
         ),
         "shards",
