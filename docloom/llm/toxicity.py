@@ -79,7 +79,7 @@ class Terms:
         return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 12) -> np.ndarray:
     """Weights (last: intercept) of ridge-penalised logistic regression, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
