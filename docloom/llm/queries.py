@@ -48,6 +48,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.exact_dedup import exact_groups
 
@@ -86,16 +92,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id", held_out.alias("held_out")])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_language": op10_language,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
