@@ -1,0 +1 @@
+"""Document queries, updates and change streams on Spark DataFrames."""
