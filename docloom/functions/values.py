@@ -34,6 +34,9 @@ class _Key:
     def __repr__(self) -> str:
         return self.name
 
+    def __reduce__(self) -> str:
+        return self.name  # one object of the name in every process
+
 
 MinKey, MaxKey = _Key("MinKey"), _Key("MaxKey")
 MISSING = _Key("MISSING")
