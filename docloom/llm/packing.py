@@ -51,13 +51,13 @@ class SumOfSquares:
             return
         rest = _Piece(piece.doc, piece.start + whole, piece.ids[whole:].copy(), piece.total)
         size = n - whole
-        # half the change of the sum when a window of level h becomes one of level h + size; full windows don't count
+        # the change of the sum when a window of level h becomes one of level h + size; new and full windows don't count
         after = self.level[size : cap + 1].copy()
         after[-1] = 0
-        change = after - self.level[: cap + 1 - size]
-        change[:-1] += 1
+        change = 2 * (after - self.level[: cap + 1 - size]) + 2
+        change[-1] -= 1
         change[self.level[: cap + 1 - size] == 0] = 1 << 40
-        change[0] = after[0]
+        change[0] = 2 * after[0] + 1
         h = int(change.argmin())
         if h:
             self.level[h] -= 1
