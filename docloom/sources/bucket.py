@@ -114,6 +114,10 @@ class Bucket:
             return D.find_documents(rows, spec, SEQ).select("doc")
         return find(rows, spec, tie=(SEQ,), hidden=(SEQ,))
 
+    def exists(self, query: dict | None = None) -> bool:
+        """Whether any document matches."""
+        return not self.find(query).isEmpty()
+
     def documents(self, query: dict | None = None) -> Iterator[dict]:
         """The result of a query as dicts, fetched by partition."""
         for row in self.find(query).toLocalIterator():
@@ -284,6 +288,11 @@ class Bucket:
             if not fresh.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
                 raise E.DuplicateKey(path)
             held = self._entries(state, old, path, index["sparse"])
+            if not state.dynamic:
+                # only old keys within the new ones' range can collide, so the reader skips the rest
+                low, high, blank = fresh.agg(F.min("key"), F.max("key"), F.max(F.col("key").isNull())).first()
+                inside = F.lit(False) if low is None else F.col("key").between(F.lit(low), F.lit(high))
+                held = held.where(inside | F.col("key").isNull() if blank else inside)
             if not held.join(fresh.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")), "left_semi").isEmpty():
                 raise E.DuplicateKey(path)
 
