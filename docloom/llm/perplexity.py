@@ -8,7 +8,8 @@ never has more than 40**4 n-grams, whatever the input: that bounds what is broad
 probabilities and back-off weights beside it.
 
 Bands: for each language (of the language column) the quartiles of the log perplexities
-of its texts give [q1 - width * spread, q3 + width * spread], spread = max(q3 - q1, least).
+of its texts give [q1 - width * spread, q3 + width * spread], spread = max(q3 - q1, least), wider
+by slack / sqrt(n) for a text of n n-grams, as short texts vary more.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def scored(docs: DataFrame, model: KneserNey | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Ids, languages, base counts and log perplexity (null where a text has no n-gram)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "_id long, _lang string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", log_perplexity double"
+    schema = "_id long, _lang string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", n_ngrams long, log_perplexity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, known = np.zeros(_CODES, np.float32), np.zeros(_CODES, bool)
@@ -189,9 +190,10 @@ def scored(docs: DataFrame, model: KneserNey | None, id_col: str, text_col: str,
                         batch.column(0).slice(piece.first, piece.n),
                         batch.column(1).slice(piece.first, piece.n),
                         *[pa.array(base[c].astype(np.int64)) for c in _COUNTS],
+                        pa.array(n.astype(np.int64)),
                         pa.array(value, mask=n == 0),
                     ],
-                    ["_id", "_lang", *_COUNTS, "log_perplexity"],
+                    ["_id", "_lang", *_COUNTS, "n_ngrams", "log_perplexity"],
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("text"))
@@ -199,7 +201,7 @@ def scored(docs: DataFrame, model: KneserNey | None, id_col: str, text_col: str,
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat_percent: int = 20, width: float = 6.0, least_spread: float = 0.02
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat_percent: int = 20, width: float = 6.0, least_spread: float = 0.02, slack: float = 1.5
 ) -> DataFrame:
     """One row per input row: id, base counts, base_failed, log_perplexity, perplexity bounds, kept.
 
@@ -212,7 +214,8 @@ def quality_rules(
     rows = rows.withColumn("base_failed", failed)
     quartiles = rows.where(~F.col("base_failed")).groupBy(F.col("_lang").alias("_band")).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("_q"))
     spread = F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(least_spread))
-    bands = quartiles.select("_band", (F.col("_q")[0] - F.lit(width) * spread).alias("band_low"), (F.col("_q")[1] + F.lit(width) * spread).alias("band_high"))
-    joined = rows.join(bands, F.col("_lang").eqNullSafe(F.col("_band")), "left")
+    bands = quartiles.select("_band", (F.col("_q")[0] - F.lit(width) * spread).alias("_low"), (F.col("_q")[1] + F.lit(width) * spread).alias("_high"))
+    more = F.lit(slack) / F.sqrt(F.greatest(F.col("n_ngrams"), F.lit(1)))
+    joined = rows.join(bands, F.col("_lang").eqNullSafe(F.col("_band")), "left").withColumn("band_low", F.col("_low") - more).withColumn("band_high", F.col("_high") + more)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return joined.select(F.col("_id").alias(id_col), *_COUNTS, "base_failed", "log_perplexity", "band_low", "band_high", (~F.col("base_failed") & inside).alias("kept"))

@@ -4,7 +4,7 @@ Categories are predicted one after another; the probability of each goes into th
 models of all later ones. In training those inputs are out-of-fold predictions, so a later
 model sees earlier probabilities as unsure as they'll be on new texts. The last category decides.
 
-Inputs of the models are word beginnings (4 or 6 bytes after a blank, lower case): the
+Inputs of the models are word beginnings (4, 6 or 8 bytes after a blank, lower case): the
 `n_terms` whose document frequencies in labelled texts differ most between the last
 category's two classes. At most `max_rows` labelled rows, chosen by a hash of the id, are
 fitted on; terms and models are of fixed size.
@@ -24,7 +24,7 @@ from docloom.llm.language import letters
 from docloom.llm.lineage import staged
 from docloom.llm.textvec import Slice, mix, slices
 
-WIDTHS = (4, 6)
+WIDTHS = (4, 6, 8)
 FOLDS = 3
 
 
@@ -79,7 +79,7 @@ class Terms:
         return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 10) -> np.ndarray:
     """Weights (last: intercept) of ridge-penalised logistic regression, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
@@ -127,7 +127,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, n_terms: int = 160, seed: int = 6) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000, n_terms: int = 224, seed: int = 6) -> Chain:
     """A chain over severity: `marked` (toxic with a toxic term), `repeated` (with at least the median number of them), `toxic`.
 
     labels: (id, 0 or 1), others and nulls left out. Labels of one class or none: every probability is that class's rate or 0.
