@@ -275,9 +275,11 @@ class Bucket:
         if numbered:
             self.files.delete(numbered)
 
-    def _check(self, state: V.State, old: DataFrame, new: DataFrame) -> None:
-        """Unique and size rules of all indexes for rows about to join others."""
+    def _check(self, state: V.State, old: DataFrame, new: DataFrame, touched: set[str] | None = None) -> None:
+        """Unique and size rules of indexes for rows about to join others; of those alone that lie in touched fields, if given."""
         for path, index in state.indexes.items():
+            if touched is not None and path.split(".")[0] not in touched:
+                continue
             fresh = self._entries(state, new, path, index["sparse"])
             sizes = F.octet_length("key.bin") if state.dynamic else F.octet_length("key") if dict(fresh.dtypes)["key"] == "string" else None
             text = (F.col("key.rank") == 3) if state.dynamic else F.lit(True)
@@ -358,7 +360,7 @@ class Bucket:
         names = [n for n in state.files if n in held]
         return (F.lit(True) if match is True else F.coalesce(match, F.lit(False))), names
 
-    def _replaced(self, state: V.State, names: list[str], kept: DataFrame, fresh: DataFrame | None) -> tuple[V.State, int, DataFrame | None]:
+    def _replaced(self, state: V.State, names: list[str], kept: DataFrame, fresh: DataFrame | None, touched: set[str] | None = None) -> tuple[V.State, int, DataFrame | None]:
         """A state in which rows `kept` and `fresh` stand for the rows of files `names`; the number of fresh rows and their frame."""
         folder, held, _ = self._written(kept, state)
         files = [n for n in state.files if n not in set(names)] + (self.files.parts(folder) if held else [])
@@ -368,7 +370,7 @@ class Bucket:
         extra, n, following = self._written(numbered, state)
         written = self._rows(state, self.files.parts(extra)) if n else None
         if written is not None:
-            self._check(state, self._rows(state, files), written)
+            self._check(state, self._rows(state, files), written, touched)
             files = files + self.files.parts(extra)
         return state.copy(files=files, next_seq=following), n, written
 
@@ -406,7 +408,8 @@ class Bucket:
             struct = T.StructType([*[T.StructField(f.name, f.dataType) for f in merged], T.StructField(SEQ, T.LongType())])
             target = state.copy(schema=json.dumps(struct.jsonValue()))
         kept = self._rows(target, names).where(~match)
-        new, n, written = self._replaced(target, names, kept, changed)
+        touched = {step.path.split(".")[0] for stage in stages for step in stage}
+        new, n, written = self._replaced(target, names, kept, changed, touched)
         new.deleted_count = state.deleted_count + n
         if written is not None:
             self._log(new, "update", self._rows(new, [f for f in new.files if f not in set(state.files)]).where(F.col(SEQ) >= state.next_seq), state.next_seq)
