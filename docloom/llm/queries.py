@@ -120,4 +120,17 @@ ORACLES: dict[str, str] = {
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
         from d window g as (partition by text_sha256)
     """,
+    "op7_minhash": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ), sets as (
+            select doc_id, case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words
+        ), shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+        pairs as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        links as (select a, b from pairs where 100 * c >= 85 * (na + nb - c)),
+        ways as (select a, b from links union all select b, a from links),
+        reached as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reached r join ways l on r.other = l.a)
+        select doc_id, len(s)::bigint as n_shingles, min(other) as component_id, doc_id = min(other) as kept from sets join reached using (doc_id) group by doc_id, s
+    """,
 }
