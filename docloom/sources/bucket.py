@@ -81,6 +81,13 @@ class Bucket:
         if self._open:
             self._open.rollback()
 
+    def unlock(self) -> None:
+        """Frees a version number that a writer claimed and then died; to be called only when no writer is at work."""
+        self.refresh()
+        for name in self.files.names(V.FOLDER):
+            if name.endswith(".claim") and int(name.split(".")[0]) > self.state.version:
+                self.files.delete(f"{V.FOLDER}/{name}")
+
     def refresh(self) -> None:
         """Goes to the newest version, which another writer may have made."""
         if self._open is None:

@@ -194,6 +194,16 @@ def test_vacuum_dump_memory(people, tmp_path):
         memory.subscribe()
 
 
+def test_unlock(spark, tmp_path):
+    bucket = Bucket.open(spark, f"file://{tmp_path}/b", schema=SCHEMA)
+    claim = f"{tmp_path}/b/_versions/{bucket.state.version + 1:020d}.json.claim"
+    open(claim, "w").close()
+    with pytest.raises(E.TransactionActive):
+        bucket.insert(PEOPLE[0])
+    bucket.unlock()
+    assert bucket.insert(PEOPLE[0]) == 1 and bucket.exists({"query": {"age": 30}}) and not bucket.exists({"query": {"age": 31}})
+
+
 def test_live_tail(people):
     tail = LiveTail(people, {"query": {"age": {"$gte": 40}}})
     assert [d["name"] for d in tail.poll()] == ["Bob", "Carol"] and tail.poll() == []
