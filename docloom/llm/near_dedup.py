@@ -8,13 +8,16 @@
    share one among their k - need + 1 rarest, so only those stand in inverted
    lists (a prefix filter with the corpus' own value counts). Values held by one
    class alone drop out, and a passage that many texts share is rarely among the rarest.
-3. In a list of up to `small_list` classes all pairs are candidates; in a longer one
-   every class is paired with the list's hub. The union sketch of a pair
-   estimates its similarity and drops pairs under need / k; the rest are verified
-   by the exact Jaccard similarity of full sets.
-4. Verified links give components. Classes of a long list that don't yet belong to
-   its hub's component get other hubs, and at last are paired with every class
-   of the list in another component, so a list's length never costs a link.
+3. In a list of up to `small_list` classes all pairs are candidates. The union sketch of a
+   pair estimates its similarity and drops pairs under need / k; the rest are verified by
+   the exact Jaccard similarity of full sets.
+4. A longer list has a hub. Every class of the list is held against the hub exactly, as its
+   delta (what the two sets don't share); classes near enough are linked to the hub. Two classes x and y of
+   the list are alike only if |delta x ^ delta y| <= c (|x| + |y|), c = (1 - t) / (1 + t), so their deltas share at
+   least (|delta x| + |delta y| - c (|x| + |y|)) / 2 values; a prefix filter on deltas, by their size, finds all such
+   pairs but those both linked to the hub already, and whole deltas give their exact similarity. Deltas lack what makes the list long, so neither a large family
+   of copies nor a passage in many texts gives pairs in the square of its size, and no link is lost.
+5. Verified links give components.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from docloom.llm.lineage import staged
 from docloom.llm.textvec import slices, text_sets
 
 _NO_ID = (1 << 63) - 1
+_SLICE_BYTES = 1 << 18
 
 
 def needed(k: int, threshold: float) -> int:
@@ -45,7 +49,7 @@ def _sets(width: int, k: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for piece in slices(batch.column(1)):
+            for piece in slices(batch.column(1), _SLICE_BYTES):
                 sets = [np.sort(s.view(np.int64)) for s in text_sets(piece, width)]
                 kept = [s[:k] for s in sets]
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
@@ -85,15 +89,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """Candidate pairs of classes, estimated and verified."""
+    """Estimating and verifying pairs of classes, and joining lists around hubs."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, threshold: float, width: int):
         self.docs, self.nodes, self.k, self.width = docs, nodes, k, width
         self.need = needed(k, threshold)
         self.parts = round(threshold * 1_000_000)
+        self.threshold = threshold
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b), any way round and repeated, that are links: estimated first, then verified on full sets."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), any way round and repeated, those whose sizes and sketches allow a link."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         sketch = self.nodes.select("fp", "values", "n")
         x = pairs.join(sketch.select(F.col("fp").alias("b"), F.col("values").alias("vb"), F.col("n").alias("nb")), "b")
@@ -101,20 +106,72 @@ class _Search:
         union = F.slice(F.sort_array(F.array_union("va", "vb")), 1, self.k)
         shared = F.size(F.array_intersect(F.array_intersect(union, F.col("va")), F.col("vb"))).cast("long")
         bound = F.least("na", "nb") * F.lit(1_000_000) >= F.lit(self.parts) * F.greatest("na", "nb")
-        likely = staged(x.where(bound & (shared * F.lit(self.k) >= F.lit(self.need) * F.size(union))).select("a", "b", "na", "nb"), "likely")
-        wanted = likely.select(F.col("a").alias("fp")).union(likely.select("b")).distinct()
-        ids = self.nodes.join(wanted, "fp").select(F.col("id").alias("_id"), F.col("fp").alias("_fp"))
+        return staged(x.where(bound & (shared * F.lit(self.k) >= F.lit(self.need) * F.size(union))).select("a", "b"), "likely")
+
+    def full_sets(self, wanted: DataFrame) -> DataFrame:
+        """(fp, set) of the wanted classes, from their texts."""
+        ids = self.nodes.join(wanted.select("fp").distinct(), "fp").select(F.col("id").alias("_id"), F.col("fp").alias("_fp"))
         mine = self.docs.join(ids.select("_id").distinct(), "_id", "left_semi")
-        full = mine.select("_id", "text").mapInArrow(_sets(self.width, None), _SETS_SCHEMA).select("fp", "values")
-        full = staged(full.join(ids.select(F.col("_fp").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-        y = likely.join(full.select(F.col("fp").alias("b"), F.col("values").alias("sb")), "b")
-        y = y.join(full.select(F.col("fp").alias("a"), F.col("values").alias("sa")), "a")
+        full = mine.select("_id", "text").mapInArrow(_sets(self.width, None), _SETS_SCHEMA).select("fp", F.col("values").alias("set"))
+        # a row that repeats id and text repeats its set, which only repeats links
+        return staged(full.join(ids.select(F.col("_fp").alias("fp")), "fp", "left_semi"), "sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        y = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
+        y = y.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a")
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return y.where(both * F.lit(1_000_000) >= F.lit(self.parts) * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        either = F.size("sa") + F.size("sb") - both
+        return y.where(both * F.lit(1_000_000) >= F.lit(self.parts) * either).select("a", "b")
+
+    def deltas(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(hub, fp, n, delta, near) for the classes around hubs; near: linked to the hub."""
+        y = members.join(sets, "fp").join(sets.select(F.col("fp").alias("hub"), F.col("set").alias("hs")), "hub")
+        y = y.select("hub", "fp", F.size("set").cast("long").alias("n"), F.size("hs").cast("long").alias("hn"), F.array_union(F.array_except("set", "hs"), F.array_except("hs", "set")).alias("delta"))
+        apart = F.size("delta").cast("long")
+        both = (F.col("n") + F.col("hn") - apart) / 2
+        return staged(y.withColumn("near", both * 1_000_000 >= F.lit(self.parts) * (both + apart)).drop("hn"), "deltas")
+
+    def around_hubs(self, deltas: DataFrame, step: int = 8) -> DataFrame:
+        """Links (a, b) of classes around one hub, not both near it: from prefixes of deltas, verified on whole deltas."""
+        ids = ["hub", "fp"]
+        spread = deltas.select(*ids, F.explode("delta").alias("v"))
+        common = spread.groupBy("hub", "v").agg(F.count("*").alias("df")).where("df > 1")
+        held = spread.join(common, ["hub", "v"]).groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("h"))
+        x = deltas.select(*ids, "n", "near", F.size("delta").alias("d")).join(held, ids, "left")
+        # partners' sizes are within the threshold of this one's, so c (|x| + |y|) is at most reach
+        reach = F.floor(F.col("n") * F.lit((1 - self.threshold) / self.threshold) + F.lit(1e-9)).cast("int")
+        x = x.withColumn("reach", reach).withColumn("bin", F.floor(F.col("d") / step).cast("int"))
+        first, last = F.greatest(F.lit(0), F.floor((F.col("d") - F.col("reach")) / step)).cast("int"), F.floor((F.col("d") + F.col("reach")) / step).cast("int")
+
+        def share(other: Column) -> Column:
+            """Values that a partner in a bin of sizes shares with this delta at least."""
+            return F.ceil((F.col("d") + other * step - F.col("reach")) / 2).cast("int")
+
+        def slots(other: Column) -> Column:
+            """How many of the rarest shared values are in the prefix for a bin; values of no other class go before them."""
+            return F.col("d") - share(other) + 1 - (F.col("d") - F.coalesce(F.size("h"), F.lit(0)))
+
+        bins = F.filter(F.sequence(first, last), lambda o: (share(o) <= 0) | (slots(o) > 0))
+        x = x.select(*ids, "near", "bin", "h", "d", "reach", F.explode(bins).alias("other"))
+        # where nothing need be shared by this class's bound, its partner's may still ask for a shared value: so both kinds of key
+        none_needed = share(F.col("other")) <= 0
+        shared = F.transform(F.coalesce(F.col("h"), F.array().cast("array<struct<df:bigint,v:bigint>>")), lambda s: s["v"])
+        values = F.when(none_needed, F.concat(F.array(F.lit(None).cast("long")), shared)).otherwise(F.slice(shared, 1, F.greatest(F.lit(1), slots(F.col("other")))))
+        keys = staged(x.select(*ids, "near", "bin", "other", F.explode(values).alias("v")), "keys")
+        key = [F.col("hub"), F.least("bin", "other").alias("low"), F.greatest("bin", "other").alias("high"), F.coalesce("v", F.lit(0)).alias("v"), F.col("v").isNull().alias("any")]
+        left = keys.where("not near").select(*key, F.col("fp").alias("a"), F.col("bin").alias("ba"), F.col("other").alias("oa"))
+        right = keys.select(*key, F.col("fp").alias("b"), F.col("bin").alias("bb"), F.col("other").alias("ob"), F.col("near").alias("nb"))
+        pairs = left.join(right, ["hub", "low", "high", "v", "any"])
+        pairs = pairs.where("ba = ob and bb = oa and a != b and (nb or a < b)").select("hub", "a", "b").distinct()
+        y = pairs.join(deltas.select("hub", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("delta").alias("db")), ["hub", "b"])
+        y = y.join(deltas.select("hub", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("delta").alias("da")), ["hub", "a"])
+        apart = F.size("da") + F.size("db") - F.lit(2) * F.size(F.array_intersect("da", "db"))
+        either = (F.col("na") + F.col("nb") + apart) / 2  # the union of the full sets, exactly
+        return y.where((either - apart) * 1_000_000 >= F.lit(self.parts) * either).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, k: int = 48, small_list: int = 8, hub_rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, k: int = 48, small_list: int = 8
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id linked through), kept (id = component_id).
 
@@ -133,42 +190,22 @@ def near_groups(
     postings = nodes.select("fp", F.size("values").alias("s"), F.explode("values").alias("v"))
     common = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     hits = postings.join(common, "v").groupBy("fp").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("h"))
-    room = F.col("s") - F.ceil(F.col("s") * F.lit(search.need) / F.lit(k)).cast("int") + 1 - (F.col("s") - F.size("h"))
-    prefix = staged(hits.withColumn("room", room).where("room > 0").select("fp", F.explode(F.slice("h", 1, F.col("room"))).alias("h")).select("fp", F.col("h.v").alias("v")), "prefixes")
-    lists = staged(prefix.groupBy("v").agg(F.count("*").alias("len"), F.min("fp").alias("hub")).where("len > 1"), "lists")
+    hits = hits.withColumn("alone", F.col("s") - F.size("h"))
+    room = F.col("s") - F.ceil(F.col("s") * F.lit(search.need) / F.lit(k)).cast("int") + 1 - F.col("alone")
+    prefix = staged(hits.withColumn("room", room).where("room > 0").select("fp", "alone", F.explode(F.slice("h", 1, F.col("room"))).alias("h")).select("fp", "alone", F.col("h.v").alias("v")), "prefixes")
+    # the hub of a list is the class with the fewest values of its own: the text the others were made from, if there is one
+    lists = prefix.groupBy("v").agg(F.count("*").alias("len"), F.min(F.struct("alone", "fp")).alias("h")).where("len > 1")
+    lists = staged(lists.select("v", "len", F.col("h.fp").alias("hub")), "lists")
     short = prefix.join(lists.where(F.col("len") <= small_list).select("v"), "v", "left_semi")
     pairs = short.select("v", F.col("fp").alias("a")).join(short.select("v", F.col("fp").alias("b")), "v").where("a < b").select("a", "b")
-    long_lists = lists.where(F.col("len") > small_list)
-    members = staged(prefix.join(long_lists.select("v", "hub"), "v"), "members")
-    edges = staged(search.similar(pairs.union(members.select(F.col("hub").alias("a"), F.col("fp").alias("b")))), "edges")
-    labels = components(edges)
-
-    def apart(labels: DataFrame) -> DataFrame:
-        """Members of long lists that hold several components: label, and whether it is the hub's."""
-        own = members.join(labels, members["fp"] == labels["node"], "left").select("v", "hub", "fp", F.coalesce("label", "fp").alias("label"))
-        hubs = own.where("fp = hub").select(F.col("v").alias("hv"), F.col("label").alias("main"))
-        own = own.join(hubs, own["v"] == hubs["hv"]).select("v", "fp", "label", "main")
-        several = own.groupBy("v").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("v")
-        return staged(own.join(several, "v", "left_semi").withColumn("other", F.col("label") != F.col("main")), "apart")
-
-    rest = apart(labels)
-    for turn in range(hub_rounds):
-        if rest.isEmpty():
-            break
-        order = F.struct(F.xxhash64("fp", F.lit(turn)), "fp")
-        best = rest.groupBy("v").agg(F.min(F.when(~F.col("other"), order)).alias("p"), F.min(F.when(F.col("other"), order)).alias("q"))
-        picks = best.select("v", F.array("p.fp", "q.fp").alias("hubs"))
-        found = search.similar(rest.where("other").join(picks, "v").select(F.explode("hubs").alias("a"), F.col("fp").alias("b")).where("a is not null"))
-        edges = staged(edges.union(found), "edges")
-        labels = components(edges)
-        rest = apart(labels)
-    if not rest.isEmpty():
-        one = rest.where("other").select("v", F.col("fp").alias("a"), F.col("label").alias("la"))
-        two = rest.select("v", F.col("fp").alias("b"), F.col("label").alias("lb"), "other")
-        # two members that are both outside the main component meet once
-        found = search.similar(one.join(two, "v").where("la != lb and (not other or a < b)").select("a", "b"))
-        edges = staged(edges.union(found), "edges")
-        labels = components(edges)
+    pairs = search.likely(pairs)
+    members = prefix.join(lists.where(F.col("len") > small_list).select("v", "hub"), "v").select("hub", "fp").distinct()
+    members = staged(members, "members")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members.select("fp"))
+    sets = search.full_sets(wanted)
+    deltas = search.deltas(members, sets)
+    near = deltas.where("near and hub != fp").select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
+    labels = components(search.verified(pairs, sets).union(near).union(search.around_hubs(deltas)))
 
     named = nodes.select("fp", F.coalesce("id", F.lit(_NO_ID)).alias("id")).join(labels, nodes["fp"] == labels["node"], "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     first = named.groupBy("label").agg(F.min("id").alias("component"))
