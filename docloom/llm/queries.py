@@ -37,7 +37,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     chain = fit(docs, _table(spark, sf_dir, "labels").where(_remainder(3) != 1))
-    return predict(docs, chain).withColumn("held_out", _remainder(3) == 1)
+    # learned from the rows whose remainder is not 1; toxic documents are those not kept
+    return predict(docs, chain).withColumn("kept", F.col("predicted") == 0)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
