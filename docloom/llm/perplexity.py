@@ -1,11 +1,11 @@
 """Quality rules: fixed limits on counts, then perplexity bands under a modified Kneser-Ney model.
 
-The model is one of character n-grams (order 4 over an alphabet of 40 byte
-classes). Every text is counted: a task sums its own texts in one array, Spark sums
-the tasks' n-grams, so what is shuffled grows with the number of tasks, while the model
-never has more than 40**4 n-grams, whatever the input: that bounds what is broadcast
-(under 60 MB). Each order is stored as an array of n-gram hashes in ascending order with log
-probabilities and back-off weights beside it.
+The model is one of byte n-grams, order 6 over all 256 bytes, case and scripts as they are. Every
+text is counted: tasks ship their distinct n-grams, Spark sums them, and nothing caps the table,
+so it grows with what the corpus holds. Each order is a table in the shared folder, cut into ranges of
+contexts: n-grams ascending, with their discounted probability and the weight their context leaves
+to the next lower order. It is neither collected nor broadcast: tasks gather the distinct n-grams
+of some 8 MB of texts and look them up range by range, holding one range at a time.
 
 Bands: for each language (of the language column) the quartiles of the log perplexities
 of its texts give [q1 - width * spread, q3 + width * spread], spread = max(q3 - q1, least), wider
@@ -18,70 +18,150 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.lineage import staged
 from docloom.llm.textstats import base_counts, sums
-from docloom.llm.textvec import LOWER, Slice, mix, slices
+from docloom.llm.textvec import Slice, mix, slices
 
-ALPHABET, ORDER = 40, 4
-_CODES = ALPHABET**ORDER
-
-
-def _symbol_table() -> np.ndarray:
-    """Byte classes: blank, a-z without case, digit, four sorts of signs, five of lead bytes, three of continuation bytes."""
-    t = np.full(256, 31, np.int32)
-    t[[0x20, *range(0x09, 0x0E)]] = 0
-    for k in range(26):
-        t[[ord("a") + k, ord("A") + k]] = 1 + k
-    t[0x21:0x7F][t[0x21:0x7F] == 31] = 29
-    t[[ord(c) for c in "0123456789"]] = 27
-    t[[ord(c) for c in ".,;:!?"]] = 28
-    t[[ord(c) for c in "#*$%&|<>"]] = 30
-    t[0xC2], t[0xC3], t[0xC4:0xE0], t[0xE0:0xF0], t[0xF0:] = 32, 33, 34, 35, 36
-    t[0x80:0xC0] = 37 + np.arange(64) % 3
-    return t
-
-
-SYMBOL = _symbol_table()
+RADIX, DEPTH = 256, 6  # of the model in tables: an n-gram is an integer of DEPTH digits
+_RANGE_ROWS, _HELD, _TEXT_BYTES = 1 << 20, 3 << 19, 1 << 23
+ALPHABET, ORDER = 40, 4  # of the model in memory
 
 
 def _codes(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     """n-gram codes of a slice's texts in order, and bounds of the texts among them."""
-    s = SYMBOL[LOWER[piece.buf]]
-    n = len(s) - ORDER + 1
-    lengths = np.maximum(np.diff(piece.offsets) - ORDER + 1, 0)
+    s = piece.buf
+    n = len(s) - DEPTH + 1
+    lengths = np.maximum(np.diff(piece.offsets) - DEPTH + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     if n <= 0:
         return np.zeros(0, np.int64), bounds
-    code = s[:n].copy()
-    for k in range(1, ORDER):
-        code = code * ALPHABET + s[k : k + n]
+    code = s[:n].astype(np.int64)
+    for k in range(1, DEPTH):
+        code = code * RADIX + s[k : k + n]
     text_end = np.repeat(piece.offsets[1:], np.diff(piece.offsets))[:n]
-    return code[np.arange(n) + ORDER <= text_end], bounds
+    return code[np.arange(n) + DEPTH <= text_end], bounds
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n): occurrences of each n-gram over all whole texts."""
 
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for code, n in parts:
+            for k in range(0, len(code), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + (1 << 16)]), pa.array(n[k : k + (1 << 16)])], ["code", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_CODES, np.int64)
+        parts, held = [], 0
         for batch in batches:
             for piece in slices(batch.column(0)):
-                code, _ = _codes(piece)
-                if len(code):
-                    total += np.bincount(code, minlength=_CODES)
-        seen = np.flatnonzero(total)
-        for k in range(0, len(seen), 1 << 16):
-            part = seen[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["code", "n"])
+                parts.append(np.unique(_codes(piece)[0], return_counts=True))
+                held += len(parts[-1][0])
+                if held > _HELD:
+                    parts = [_summed(parts)]
+                    held = len(parts[0][0])
+                    if held > _HELD // 2:
+                        yield from rows(parts)
+                        parts, held = [], 0
+        if parts:
+            yield from rows([_summed(parts)])
 
     return docs.select(text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _discounts(have: list[float]) -> np.ndarray:
+    """What n-grams counted 0, 1, 2, 3 or more times lose, from how many are counted 1, 2, 3 and 4 times."""
+    have = [float(h) or 1.0 for h in have]
+    y = have[0] / (have[0] + 2 * have[1])
+    return np.clip([0.0, 1 - 2 * y * have[1] / have[0], 2 - 3 * y * have[2] / have[1], 3 - 4 * y * have[3] / have[2]], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.8, 2.7])
+
+
+def _order_table(counts: DataFrame, radix: int) -> list[tuple[str, int, int]]:
+    """(file, first, last n-gram) of the ranges of one order's table, made from its (code, n)."""
+    size, *have = counts.agg(F.count("*"), *[F.count_if(F.col("n") == j) for j in (1, 2, 3, 4)]).first()
+    d = _discounts(have)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        code, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, context = np.unique(code // radix, return_inverse=True)
+        cut = d[np.minimum(c, 3)]
+        total, spare = np.bincount(context, c), np.bincount(context, cut)
+        p, rest = (c - cut) / total[context], (spare / total)[context]
+        for k in range(0, len(code), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (code, p, rest)], ["code", "p", "rest"])
+
+    # a context's n-grams are in one range
+    ranges = counts.withColumn("context", F.expr(f"code div {radix}")).repartitionByRange(-(-size // _RANGE_ROWS), "context").sortWithinPartitions("code")
+    table = staged(ranges.select("code", "n").mapInArrow(run, "code long, p double, rest double"), "ngrams")
+    files = table.groupBy(F.input_file_name().alias("file")).agg(F.min("code").alias("first"), F.max("code").alias("last")).collect()
+    return sorted((tuple(f) for f in files), key=lambda f: f[1])
+
+
+class Tables:
+    """Interpolated modified Kneser-Ney over tables in the shared folder, one list of ranges per order."""
+
+    def __init__(self, orders: list[list[tuple[str, int, int]]], radix: int):
+        self.orders, self.radix = orders, radix
+
+    def _range(self, file: str, code: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        system, path = FileSystem.from_uri(file)
+        with system.open_input_file(path) as f:
+            table = pq.ParquetFile(f).read(use_threads=False)
+        known, p, rest = (table[c].to_numpy() for c in ("code", "p", "rest"))
+        at = np.searchsorted(known, code)
+        after, before = np.minimum(at, len(known) - 1), np.maximum(at - 1, 0)
+        found = known[after] == code
+        # n-grams ascend, so one of a context is beside the place of any other of it
+        same_after, same_before = (known[x] // self.radix == code // self.radix for x in (after, before))
+        weight = np.where(same_after, rest[after], np.where(same_before, rest[before], 1.0))
+        return np.where(found, p[after], 0.0) + weight * lower
+
+    def log_probability(self, code: np.ndarray) -> np.ndarray:
+        """ln p(last symbol | those before) for ascending distinct codes of full n-grams."""
+        shorter, p = np.zeros(1, np.int64), np.full(1, 1.0 / self.radix)
+        for k, ranges in enumerate(self.orders, 1):
+            gram = np.unique(code % self.radix**k)
+            out = p[np.searchsorted(shorter, gram % self.radix ** (k - 1))]  # unseen contexts back off
+            for file, first, last in ranges:
+                # the n-grams of the range's contexts
+                a, b = np.searchsorted(gram, [first // self.radix * self.radix, (last // self.radix + 1) * self.radix])
+                if a < b:
+                    out[a:b] = self._range(file, gram[a:b], out[a:b])
+            shorter, p = gram, out
+        return np.log(p)
+
+
+def tables(counts: DataFrame, radix: int = RADIX, depth: int = DEPTH) -> Tables | None:
+    """The model of n-grams of `depth` digits, (code, n). None where there are none. Only ranges' file names reach the driver."""
+    counts = staged(counts, "counts")
+    if counts.isEmpty():
+        return None
+    orders = [_order_table(counts, radix)]
+    for k in range(depth - 1, 0, -1):  # lower orders count the distinct symbols before an n-gram
+        counts = staged(counts.groupBy(F.expr(f"code % {radix**k}").alias("code")).agg(F.count("*").alias("n")), "counts")
+        orders.insert(0, _order_table(counts, radix))
+    return Tables(orders, radix)
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Tables | None:
+    """The model of all texts of docs; None where they hold no n-gram."""
+    return tables(count_ngrams(docs, text_col))
+
+
 class KneserNey:
-    """Interpolated modified Kneser-Ney in back-off form, an ascending hash array per order."""
+    """Interpolated modified Kneser-Ney in back-off form, an ascending hash array per order, for small alphabets in memory; tests hold Tables against it."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray):
         self.hashes: list[np.ndarray] = []
@@ -96,9 +176,7 @@ class KneserNey:
         lower = np.full(1, 1.0 / ALPHABET)
         for k in range(ORDER):
             g, c = grams[k], counts[k].astype(np.float64)
-            have = [float((c == j).sum()) or 1.0 for j in (1, 2, 3, 4)]
-            y = have[0] / (have[0] + 2 * have[1])
-            d = np.clip([0.0, 1 - 2 * y * have[1] / have[0], 2 - 3 * y * have[2] / have[1], 3 - 4 * y * have[3] / have[2]], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.8, 2.7])
+            d = _discounts([(c == j).sum() for j in (1, 2, 3, 4)])
             cut = d[np.minimum(c, 3).astype(np.int64)]
             context = g // ALPHABET
             # sums over contexts, of counts and of what is cut off
@@ -155,46 +233,36 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> KneserNey | None:
-    """The model of all texts of docs; None where they hold no n-gram. At most 40**4 rows reach the driver."""
-    table = count_ngrams(docs, text_col).toArrow()
-    if not table.num_rows:
-        return None
-    code, n = table["code"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(code)
-    return KneserNey(code[order], n[order])
-
-
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scored(docs: DataFrame, model: KneserNey | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def scored(docs: DataFrame, model: Tables | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Ids, languages, base counts and log perplexity (null where a text has no n-gram)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "_id long, _lang string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", n_ngrams long, log_perplexity double"
 
+    def judged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        every = np.unique(np.concatenate([code for _, _, code, _, _ in held]))
+        logp = model.log_probability(every) if len(every) else np.zeros(0)
+        for columns, base, code, which, bounds in held:
+            n = np.diff(bounds)
+            value = -sums(logp[np.searchsorted(every, code)][which], bounds) / np.maximum(n, 1)
+            counts = [pa.array(base[c].astype(np.int64)) for c in _COUNTS]
+            yield pa.RecordBatch.from_arrays([*columns, *counts, pa.array(n.astype(np.int64)), pa.array(value, mask=n == 0)], ["_id", "_lang", *_COUNTS, "n_ngrams", "log_perplexity"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known = np.zeros(_CODES, np.float32), np.zeros(_CODES, bool)
+        held, size = [], 0
         for batch in batches:
             for piece in slices(batch.column(2)):
-                code, bounds = _codes(piece)
-                if len(code):
-                    new = np.flatnonzero((np.bincount(code, minlength=_CODES) > 0) & ~known)
-                    memo[new] = shared.value.log_probability(new)
-                    known[new] = True
-                n = np.diff(bounds)
-                value = -sums(memo[code].astype(np.float64), bounds) / np.maximum(n, 1)
-                base = base_counts(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(piece.first, piece.n),
-                        batch.column(1).slice(piece.first, piece.n),
-                        *[pa.array(base[c].astype(np.int64)) for c in _COUNTS],
-                        pa.array(n.astype(np.int64)),
-                        pa.array(value, mask=n == 0),
-                    ],
-                    ["_id", "_lang", *_COUNTS, "n_ngrams", "log_perplexity"],
-                )
+                codes, bounds = _codes(piece)
+                code, which = np.unique(codes, return_inverse=True)
+                columns = [batch.column(k).slice(piece.first, piece.n) for k in (0, 1)]
+                held.append((columns, base_counts(piece), code, which.astype(np.int32), bounds))
+                size += len(piece.buf)
+                if size > _TEXT_BYTES:
+                    yield from judged(held)
+                    held, size = [], 0
+        if held:
+            yield from judged(held)
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, schema)

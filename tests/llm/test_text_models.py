@@ -48,6 +48,27 @@ def test_kneser_ney_sums_to_one():
     assert seen.min() > unseen[0]
 
 
+def test_tables_of_ranges(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    code, n = np.unique((draw.zipf(1.3, 6000) * 7919) % 40**4, return_counts=True)
+    memory = perplexity.KneserNey(code, n)
+    monkeypatch.setattr(perplexity, "_RANGE_ROWS", 300)
+    model = perplexity.tables(spark.createDataFrame(list(zip(code.tolist(), n.tolist(), strict=True)), "code long, n long"), 40, 4)
+    assert [len(ranges) > 1 for ranges in model.orders] == [False, True, True, True]
+    asked = np.unique(np.concatenate([code, draw.integers(0, 40**4, 3000)]))
+    assert np.allclose(model.log_probability(asked), memory.log_probability(asked), atol=1e-4)
+
+
+def test_model_reads_all_bytes(spark):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice("река течёт среди старых камней много деревьев вода поёт".split()) for _ in range(60)) for _ in range(200)]
+    # each letter replaced by one with the same lead byte
+    odd = "".join(c if c == " " else chr(draw.choice([x for x in range(0x410, 0x44F) if chr(x).encode()[0] == c.encode()[0]])) for c in texts[0])
+    rows = [*enumerate(texts), (900, odd)]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame([(i, t, "ru") for i, t in rows], "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(200)) and not got[900].base_failed and not got[900].kept
+
+
 def test_quality_rules(spark):
     draw = random.Random(2)
     vocabulary = [["the", "river", "runs", "over", "old", "stones", "and", "water", "sings", "with", "many", "trees", "near"], ["der", "alte", "fluss", "geht", "durch", "das", "tal", "wo", "viele", "steine", "liegen", "und"]]
