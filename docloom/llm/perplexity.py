@@ -7,9 +7,12 @@ contexts: n-grams ascending, with their discounted probability and the weight th
 to the next lower order. It is neither collected nor broadcast: tasks gather the distinct n-grams
 of some 8 MB of texts and look them up range by range, holding one range at a time.
 
-Bands: for each language (of the language column) the quartiles of the log perplexities
-of its texts give [q1 - width * spread, q3 + width * spread], spread = max(q3 - q1, least), wider
-by slack / sqrt(n) for a text of n n-grams, as short texts vary more.
+Bands: for each language (of the language column) and class of length (powers of two of the
+number of n-grams, as short texts vary more) the median m of the log perplexities of texts that pass the
+base rules and their median deviation d from it give [m - low_width * d, m + high_width * d], both widths
+times 1 + 7 / sqrt(texts), as few texts tell d badly. Up to half of a class may be junk without moving m
+and d much. Classes of under 50 texts take their language's band. The lower width is the larger: families of copies
+are clean and predict each other.
 """
 
 from __future__ import annotations
@@ -268,8 +271,23 @@ def scored(docs: DataFrame, model: Tables | None, id_col: str, text_col: str, la
     return picked.mapInArrow(run, schema)
 
 
+_ALL, _LEAST_TEXTS = -1, 50
+
+
+def _bands(rows: DataFrame, low_width: float, high_width: float, least_spread: float) -> DataFrame:
+    """(_lang, _size, low, high); size _ALL: all lengths of the language."""
+    group = ["_lang", "_size"]
+    at = rows.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).select("_lang", F.explode(F.array("_size", F.lit(_ALL))).alias("_size"), "log_perplexity")
+    middle = at.groupBy(*group).agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("m"), F.count("*").alias("texts"))
+    middle = middle.where((F.col("texts") >= _LEAST_TEXTS) | (F.col("_size") == _ALL)).select(F.col("_lang").alias("_of"), F.col("_size").alias("_of_size"), "m", "texts")
+    apart = at.join(F.broadcast(middle), F.col("_lang").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_of_size")))
+    spread = apart.groupBy(*group, "m", "texts").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("m")), 0.5, 10_000).alias("d"))
+    unit = F.greatest("d", F.lit(least_spread)) * (1 + 7 / F.sqrt("texts"))
+    return spread.select(*group, (F.col("m") - low_width * unit).alias("low"), (F.col("m") + high_width * unit).alias("high"))
+
+
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat_percent: int = 20, width: float = 6.0, least_spread: float = 0.02, slack: float = 1.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 10, max_repeat_percent: int = 20, low_width: float = 10.0, high_width: float = 5.0, least_spread: float = 0.005
 ) -> DataFrame:
     """One row per input row: id, base counts, base_failed, log_perplexity, perplexity bounds, kept.
 
@@ -280,10 +298,12 @@ def quality_rules(
     rows = staged(scored(docs, model, id_col, text_col, lang_col), "perplexity")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     rows = rows.withColumn("base_failed", failed)
-    quartiles = rows.where(~F.col("base_failed")).groupBy(F.col("_lang").alias("_band")).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("_q"))
-    spread = F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(least_spread))
-    bands = quartiles.select("_band", (F.col("_q")[0] - F.lit(width) * spread).alias("_low"), (F.col("_q")[1] + F.lit(width) * spread).alias("_high"))
-    more = F.lit(slack) / F.sqrt(F.greatest(F.col("n_ngrams"), F.lit(1)))
-    joined = rows.join(bands, F.col("_lang").eqNullSafe(F.col("_band")), "left").withColumn("band_low", F.col("_low") - more).withColumn("band_high", F.col("_high") + more)
+    rows = rows.withColumn("_size", F.floor(F.log2(F.col("n_ngrams").cast("double"))).cast("int")).withColumn("_size", F.least(F.greatest("_size", F.lit(7)), F.lit(12)))
+    bands = staged(_bands(rows, low_width, high_width, least_spread), "bands")
+    joined = rows
+    for size, names in ((F.col("_size"), ("_low", "_high")), (F.lit(_ALL), ("_any_low", "_any_high"))):
+        band = bands.select(F.col("_lang").alias("_of"), F.col("_size").alias("_of_size"), *[F.col(b).alias(n) for b, n in zip(("low", "high"), names, strict=True)])
+        joined = joined.join(F.broadcast(band), joined["_lang"].eqNullSafe(F.col("_of")) & (size == F.col("_of_size")), "left").drop("_of", "_of_size")
+    joined = joined.withColumn("band_low", F.coalesce("_low", "_any_low")).withColumn("band_high", F.coalesce("_high", "_any_high"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
     return joined.select(F.col("_id").alias(id_col), *_COUNTS, "base_failed", "log_perplexity", "band_low", "band_high", (~F.col("base_failed") & inside).alias("kept"))

@@ -69,6 +69,18 @@ def test_model_reads_all_bytes(spark):
     assert all(got[i].kept for i in range(200)) and not got[900].base_failed and not got[900].kept
 
 
+def test_bands_reject_junk_of_any_length(spark):
+    draw = random.Random(12)
+    parts = "th er ing on at an in re ed ou ha wh le st nd".split()
+    words = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 3))) for _ in range(400)]
+    clean = [" ".join(draw.choice(words) for _ in range(draw.choice([40, 80, 160, 320]))) for _ in range(1200)]
+    junk = [" ".join(draw.choice(words) + (" |" if k % 4 == 0 else "") for k in range(draw.choice([160, 320]))) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(clean + junk)]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i in range(1200)) and not any(got[i].kept for i in range(1200, 1230))
+
+
 def test_quality_rules(spark):
     draw = random.Random(2)
     vocabulary = [["the", "river", "runs", "over", "old", "stones", "and", "water", "sings", "with", "many", "trees", "near"], ["der", "alte", "fluss", "geht", "durch", "das", "tal", "wo", "viele", "steine", "liegen", "und"]]
