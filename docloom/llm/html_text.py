@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.worker import fresh
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -393,4 +395,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
                 texts = [page_text(x.as_py()) for x in part.column(n)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], pa.array(texts, pa.string())], [*names, "text"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(fresh(run), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.textvec import LOWER, Slice, mix, plain_column, slices
+from docloom.llm.worker import fresh
 
 WIDTHS = (3, 5)
 _LETTERLIKE = np.zeros(256, bool)
@@ -115,7 +116,7 @@ def fit(
     if names:
         share = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, min(1.0, rows_per_language / n))])
         chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 20)) < share[F.col("lang")] * F.lit(1 << 20))
-        counted = chosen.select("lang", "text").mapInArrow(_count({x: k for k, x in enumerate(names)}), "lang int, gram long, n long")
+        counted = chosen.select("lang", "text").mapInArrow(fresh(_count({x: k for k, x in enumerate(names)})), "lang int, gram long, n long")
         counted = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
         total = F.create_map(*[F.lit(v) for k, (_, n) in enumerate(sizes) for v in (k, float(max(1, min(n, rows_per_language))))])
         counted = counted.where(F.col("n") >= least).withColumn("rate", F.col("n") / total[F.col("lang")])
@@ -132,7 +133,7 @@ def fit(
                 for slot in slots_of(gram, hashes, 1 << bits):
                     yield pa.RecordBatch.from_arrays([pa.array(slot[of]), pa.array(lang // 64), pa.array((np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64))], ["slot", "word", "mask"])
 
-        placed = grams.mapInArrow(place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        placed = grams.mapInArrow(fresh(place), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
         masks[placed["slot"].to_numpy(), placed["word"].to_numpy()] = placed["mask"].to_numpy().view(np.uint64)
     return BloomMasks(names, [n for _, n in sizes], masks, hashes)
 
@@ -169,4 +170,4 @@ def identify(docs: DataFrame, model: BloomMasks, id_col: str = "doc_id", text_co
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select(*(keep or [id_col]), F.col(text_col).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*(keep or [id_col]), F.col(text_col).alias("_text")).mapInArrow(fresh(run), f"{schema}, lang_pred string, score double")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.lineage import staged
 from docloom.llm.textvec import slices, text_sets
+from docloom.llm.worker import fresh
 
 _NO_ID = (1 << 63) - 1
 _SLICE_BYTES = 1 << 18
@@ -112,7 +113,7 @@ class _Search:
         """(fp, set) of the wanted classes, from their texts."""
         ids = self.nodes.join(wanted.select("fp").distinct(), "fp").select(F.col("id").alias("_id"), F.col("fp").alias("_fp"))
         mine = self.docs.join(ids.select("_id").distinct(), "_id", "left_semi")
-        full = mine.select("_id", "text").mapInArrow(_sets(self.width, None), _SETS_SCHEMA).select("fp", F.col("values").alias("set"))
+        full = mine.select("_id", "text").mapInArrow(fresh(_sets(self.width, None)), _SETS_SCHEMA).select("fp", F.col("values").alias("set"))
         # a row that repeats id and text repeats its set, which only repeats links
         return staged(full.join(ids.select(F.col("_fp").alias("fp")), "fp", "left_semi"), "sets")
 
@@ -182,7 +183,7 @@ def near_groups(
     Repeated rows are equal sets. Empty table: empty result. Other columns don't matter.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    known = staged(texts.mapInArrow(_sets(width, k), _SETS_SCHEMA), "sketches")
+    known = staged(texts.mapInArrow(fresh(_sets(width, k)), _SETS_SCHEMA), "sketches")
     nodes = staged(
         known.where("n > 0").groupBy("fp").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("values").alias("values")), "nodes"
     )

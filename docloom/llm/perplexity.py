@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from docloom.llm.lineage import staged
 from docloom.llm.textstats import base_counts, sums
 from docloom.llm.textvec import Slice, mix, slices
+from docloom.llm.worker import fresh
 
 RADIX, DEPTH = 256, 6  # of the model in tables: an n-gram is an integer of DEPTH digits
 _RANGE_ROWS, _HELD, _TEXT_BYTES = 1 << 20, 3 << 19, 1 << 23
@@ -78,7 +79,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if parts:
             yield from rows([_summed(parts)])
 
-    return docs.select(text_col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(fresh(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _discounts(have: list[float]) -> np.ndarray:
@@ -107,7 +108,7 @@ def _order_table(counts: DataFrame, radix: int) -> list[tuple[str, int, int]]:
 
     # a context's n-grams are in one range
     ranges = counts.withColumn("context", F.expr(f"code div {radix}")).repartitionByRange(-(-size // _RANGE_ROWS), "context").sortWithinPartitions("code")
-    table = staged(ranges.select("code", "n").mapInArrow(run, "code long, p double, rest double"), "ngrams")
+    table = staged(ranges.select("code", "n").mapInArrow(fresh(run), "code long, p double, rest double"), "ngrams")
     files = table.groupBy(F.input_file_name().alias("file")).agg(F.min("code").alias("first"), F.max("code").alias("last")).collect()
     return sorted((tuple(f) for f in files), key=lambda f: f[1])
 
@@ -268,7 +269,7 @@ def scored(docs: DataFrame, model: Tables | None, id_col: str, text_col: str, la
             yield from judged(held)
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(fresh(run), schema)
 
 
 _ALL, _LEAST_TEXTS = -1, 50

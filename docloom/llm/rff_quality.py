@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from docloom.llm.lineage import staged
 from docloom.llm.textstats import FEATURES, features
 from docloom.llm.textvec import slices
+from docloom.llm.worker import fresh
 
 FOLDS, BINS = 3, 2000
 _LOW, _HIGH = -0.5, 1.5
@@ -35,7 +36,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 bounds = np.arange(piece.n + 1, dtype=np.int32) * x.shape[1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))], ["_id", "f"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, f array<float>")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).mapInArrow(fresh(run), "_id long, f array<float>")
 
 
 def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
             cell = np.arange(width * (width + 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), j, np.int32)), pa.array(cell.astype(np.int32)), pa.array(a[j].ravel())], ["fold", "cell", "v"])
 
-    sums = rows.mapInArrow(add_up, "fold int, cell int, v double").groupBy("fold", "cell").agg(F.sum("v").alias("v")).toArrow()
+    sums = rows.mapInArrow(fresh(add_up), "fold int, cell int, v double").groupBy("fold", "cell").agg(F.sum("v").alias("v")).toArrow()
     a = np.zeros((FOLDS, width * (width + 1)))
     a[sums["fold"].to_numpy(), sums["cell"].to_numpy()] = sums["v"].to_numpy()
     a = a.reshape(FOLDS, width, width + 1)
@@ -136,7 +137,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
             at = np.clip((raw - _LOW) / (_HIGH - _LOW) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw), batch.column("y")], ["bin", "raw", "y"])
 
-    bins = rows.mapInArrow(binned, "bin int, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).toArrow()
+    bins = rows.mapInArrow(fresh(binned), "bin int, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).toArrow()
     order = np.argsort(bins["bin"].to_numpy())
     raw, y, n = (bins[c].to_numpy()[order].astype(float) for c in ("raw", "y", "n"))
     level = isotonic(y, n)
@@ -158,4 +159,4 @@ def score(stats: DataFrame, model: RffRidge, id_col: str = "doc_id") -> DataFram
                 s = shared.value.score(_rows(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return stats.select("_id", "f").mapInArrow(run, f"{id_col} long, score double, predicted int")
+    return stats.select("_id", "f").mapInArrow(fresh(run), f"{id_col} long, score double, predicted int")

@@ -24,18 +24,22 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_BLOCK = 1 << 14
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse modulo 2**64 for i < n, grown by doubling."""
-    global _powers, _inverses
-    while len(_powers) < n:
-        k = len(_powers)
-        _powers = np.concatenate([_powers, _powers * _U(pow(_BASE, k, 1 << 64))])
-        _inverses = np.concatenate([_inverses, _inverses * _U(pow(_BASE_INVERSE, k, 1 << 64))])
-    return _powers[:n], _inverses[:n]
+def _table(base: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < _BLOCK."""
+    return np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(_BLOCK - 1, base, np.uint64))])
+
+
+_POWERS, _INVERSES = _table(_BASE), _table(_BASE_INVERSE)
+
+
+def _steps(n: int, base: int) -> np.ndarray:
+    """base**(_BLOCK * i) modulo 2**64, for as many blocks as n positions need."""
+    step = np.full(n // _BLOCK + 1, pow(base, _BLOCK, 1 << 64), np.uint64)
+    step[0] = 1
+    return np.multiply.accumulate(step)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,10 +80,12 @@ class Slice:
 
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers, inverses = _power_tables(len(buf) + 1)
+    """64-bit hashes of byte ranges by their content alone; tables are of fixed size, however long the bytes."""
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * powers[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    powers = (_steps(len(buf), _BASE)[:, None] * _POWERS).reshape(-1)[: len(buf)]
+    np.cumsum(_BYTE_VALUE[buf] * powers, out=sums[1:])
+    inverses = _steps(len(buf), _BASE_INVERSE)[starts // _BLOCK] * _INVERSES[starts % _BLOCK]
+    return mix((sums[ends] - sums[starts]) * inverses + (ends - starts).astype(np.uint64))
 
 
 def plain_column(column: pa.Array) -> pa.Array:

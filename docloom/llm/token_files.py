@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.tokenize import encoded
+from docloom.llm.worker import fresh
 
 _SCHEMA = "part int, doc_id long, place long, n_tokens int, ids array<int>"
 
@@ -109,4 +110,4 @@ def crc32_of_ids(tokens: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
             )
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(fresh(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

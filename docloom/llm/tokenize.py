@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from docloom.llm.textvec import SLICE_BYTES, Slice, range_hashes, slices
+from docloom.llm.textvec import Slice, range_hashes, slices
+from docloom.llm.worker import keep
 
-TABLE_BITS = 22
-CACHE_PIECES = 1_500_000
+SLICE_BYTES = 1 << 18
+TABLE_BITS = 21
+CACHE_PIECES = 1_000_000
 _SLOTS = np.uint64((1 << TABLE_BITS) - 1)
 #: First bytes of code points among which Unicode has white space beyond ASCII.
 _MAY_BLANK = np.zeros(256, bool)
@@ -54,9 +56,7 @@ def _byte_cuts(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts, appended with one end id. One per Python worker and vocabulary file."""
-
-    _known: dict[tuple[str, int], Encoder] = {}
+    """Ids of texts, appended with one end id. A Python worker keeps one until a task of another kind runs."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -76,10 +76,8 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, end_id: int) -> Encoder:
-        if (path, end_id) not in cls._known:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            cls._known[path, end_id] = cls(path, end_id)
-        return cls._known[path, end_id]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return keep((path, end_id), lambda: cls(path, end_id))
 
     def _forget(self) -> None:
         """An empty open-addressing table: key and entry number per slot; entries hold where ids are and how many."""

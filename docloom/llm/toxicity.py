@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from docloom.llm.language import letters
 from docloom.llm.lineage import staged
 from docloom.llm.textvec import Slice, mix, slices
+from docloom.llm.worker import fresh
 
 WIDTHS = (4, 6, 8)
 FOLDS = 3
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not bad or not good:
         rate = 1e-9 if not bad else 1 - 1e-9
         return Chain(Terms(np.zeros(0, np.uint64)), names, [np.append(np.zeros(k), np.log(rate / (1 - rate))) for k in range(len(names))])
-    counted = rows.mapInArrow(count, "gram long, bad long, n long").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counted = rows.mapInArrow(fresh(count), "gram long, bad long, n long").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     rate_bad, rate_good = F.col("bad") / bad, (F.col("n") - F.col("bad")) / good
     spread = F.sqrt((F.col("n") / (bad + good)) * (1 - F.col("n") / (bad + good)) * (1 / bad + 1 / good) + 1e-12)
     best = counted.where("n >= 3").withColumn("z", (rate_bad - rate_good) / spread).orderBy(F.desc(F.abs("z")), "gram").limit(n_terms).toArrow()
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = shared.value.matrix(piece).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), *[batch.column(c).slice(piece.first, piece.n) for c in ("y", "fold")]], ["x", "y", "fold"])
 
-    table = rows.mapInArrow(matrix, "x binary, y double, fold int").toArrow()  # at most about max_rows x n_terms bytes
+    table = rows.mapInArrow(fresh(matrix), "x binary, y double, fold int").toArrow()  # at most about max_rows x n_terms bytes
     x = np.frombuffer(b"".join(table["x"].to_pylist()), np.uint8).reshape(table.num_rows, len(hashes)).astype(np.float32)
     toxic, fold = table["y"].to_numpy(), table["fold"].to_numpy()
     hits = x[:, up].sum(1)
@@ -197,4 +198,4 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
                 )
 
     schema = f"{id_col} long, " + ", ".join(f"{c} double" for c in columns) + ", score double, predicted int"
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(fresh(run), schema)
