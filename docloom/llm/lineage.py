@@ -28,3 +28,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name

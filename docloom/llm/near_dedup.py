@@ -8,16 +8,21 @@
    share one among their k - need + 1 rarest, so only those stand in inverted
    lists (a prefix filter with the corpus' own value counts). Values held by one
    class alone drop out, and a passage that many texts share is rarely among the rarest.
-3. In a list of up to `small_list` classes all pairs are candidates. The union sketch of a
-   pair estimates its similarity and drops pairs under need / k; the rest are verified by
-   the exact Jaccard similarity of full sets.
-4. A longer list has a hub. Every class of the list is held against the hub exactly, as its
-   delta (what the two sets don't share); classes near enough are linked to the hub. Two classes x and y of
-   the list are alike only if |delta x ^ delta y| <= c (|x| + |y|), c = (1 - t) / (1 + t), so their deltas share at
-   least (|delta x| + |delta y| - c (|x| + |y|)) / 2 values; a prefix filter on deltas, by their size, finds all such
-   pairs but those both linked to the hub already, and whole deltas give their exact similarity. Deltas lack what makes the list long, so neither a large family
-   of copies nor a passage in many texts gives pairs in the square of its size, and no link is lost.
+3. In a list of up to `small_list` classes all pairs are candidates. In a longer one every class is held
+   against a hub, then against the class nearest to what most of the list's classes hold (their
+   consensus); links so found give first components. Only classes of different components can still
+   add something, and they are found by prefixes of their deltas, what they add to the consensus and what
+   they lack of it (`around`).
+4. Whatever list a candidate comes from, the union sketch of the pair estimates its similarity and drops
+   it under need / k, and the exact Jaccard similarity of the full sets decides.
 5. Verified links give components.
+
+What can be lost: a link whose sketches are 6.5 standard deviations off. Up to k values a sketch is the
+whole set and nothing is lost; for larger sets at the very threshold the chance is P(Binomial(k, threshold) < need) at
+most, 2e-8 for k = 48 and 0.85, and falls fast above it; a component loses a row only if all its links are.
+Work: hubs, consensus and deltas are linear in a list's classes. Pairs are formed only between
+components that share rare additions (or, where classes chiefly lack text, rare omissions), so a family of edited
+copies doesn't grow with the square of its size, linked or not.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.lineage import staged
+from docloom.llm.lineage import staged, unused
 from docloom.llm.textvec import slices, text_sets
 from docloom.llm.worker import fresh
 
@@ -45,29 +50,28 @@ def needed(k: int, threshold: float) -> int:
 
 
 def _sets(width: int, k: int | None):
-    """Arrow function (_id, text) -> (_id, fp, n, values): the bottom-k sketch, or the full set where k is None."""
+    """Arrow function (_key, _id, text) -> (_key, _id, fp, n, values): the bottom-k sketch, or the full set where k is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for piece in slices(batch.column(1), _SLICE_BYTES):
+            for piece in slices(batch.column(2), _SLICE_BYTES):
                 sets = [np.sort(s.view(np.int64)) for s in text_sets(piece, width)]
                 kept = [s[:k] for s in sets]
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(piece.first, piece.n),
+                        *[batch.column(c).slice(piece.first, piece.n) for c in (0, 1)],
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64), pa.int64())),
                     ],
-                    ["_id", "fp", "n", "values"],
+                    ["_key", "_id", "fp", "n", "values"],
                 )
 
     return run
 
 
-_SETS_SCHEMA = "_id long, fp binary, n long, values array<long>"
+_SETS_SCHEMA = "_key long, _id long, fp binary, n long, values array<long>"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -110,12 +114,14 @@ class _Search:
         return staged(x.where(bound & (shared * F.lit(self.k) >= F.lit(self.need) * F.size(union))).select("a", "b"), "likely")
 
     def full_sets(self, wanted: DataFrame) -> DataFrame:
-        """(fp, set) of the wanted classes, from their texts."""
-        ids = self.nodes.join(wanted.select("fp").distinct(), "fp").select(F.col("id").alias("_id"), F.col("fp").alias("_fp"))
-        mine = self.docs.join(ids.select("_id").distinct(), "_id", "left_semi")
-        full = mine.select("_id", "text").mapInArrow(fresh(_sets(self.width, None)), _SETS_SCHEMA).select("fp", F.col("values").alias("set"))
-        # a row that repeats id and text repeats its set, which only repeats links
-        return staged(full.join(ids.select(F.col("_fp").alias("fp")), "fp", "left_semi"), "sets")
+        """(fp, set) of the wanted classes, from the text of one row each."""
+        wanted = staged(self.nodes.join(wanted.select("fp").distinct(), "fp").select(F.col("key").alias("_key"), F.col("fp").alias("_fp")), "wanted")
+        mine = self.docs.join(wanted.select("_key").distinct(), "_key", "left_semi")
+        if not wanted.where("_key is null").isEmpty():  # classes of rows without a key only
+            mine = mine.union(self.docs.where("_key is null"))
+        full = mine.mapInArrow(fresh(_sets(self.width, None)), _SETS_SCHEMA).select("fp", F.col("values").alias("set"))
+        # rows that share a key or have none may give other sets or a set twice
+        return staged(full.join(wanted.select(F.col("_fp").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         y = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
@@ -124,69 +130,138 @@ class _Search:
         either = F.size("sa") + F.size("sb") - both
         return y.where(both * F.lit(1_000_000) >= F.lit(self.parts) * either).select("a", "b")
 
+    def _linked(self, n: Column, other_n: Column, apart: Column) -> Column:
+        """Whether sets of these sizes that differ in `apart` values are alike enough."""
+        return (n + other_n - apart) * F.lit(1_000_000) >= F.lit(self.parts) * (n + other_n + apart)
+
     def deltas(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """(hub, fp, n, delta, near) for the classes around hubs; near: linked to the hub."""
+        """(hub, fp, n, hn, added, lacked, near) of the classes around hubs; near: linked to the hub."""
         y = members.join(sets, "fp").join(sets.select(F.col("fp").alias("hub"), F.col("set").alias("hs")), "hub")
-        y = y.select("hub", "fp", F.size("set").cast("long").alias("n"), F.size("hs").cast("long").alias("hn"), F.array_union(F.array_except("set", "hs"), F.array_except("hs", "set")).alias("delta"))
-        apart = F.size("delta").cast("long")
-        both = (F.col("n") + F.col("hn") - apart) / 2
-        return staged(y.withColumn("near", both * 1_000_000 >= F.lit(self.parts) * (both + apart)).drop("hn"), "deltas")
-
-    def around_hubs(self, deltas: DataFrame, step: int = 8) -> DataFrame:
-        """Links (a, b) of classes around one hub, not both near it: from prefixes of deltas, verified on whole deltas."""
+        y = y.select("hub", "fp", F.size("set").cast("long").alias("n"), F.size("hs").cast("long").alias("hn"), F.array_except("set", "hs").alias("added"), F.array_except("hs", "set").alias("lacked"))
+        return staged(y.withColumn("near", self._linked(F.col("n"), F.col("hn"), (F.size("added") + F.size("lacked")).cast("long"))), "deltas")
+
+    @staticmethod
+    def _counted(deltas: DataFrame) -> DataFrame:
+        """(hub, v, plus, df) of the values in deltas; plus: an added one."""
+        values = F.concat(
+            F.transform("added", lambda v: F.struct(v.alias("v"), F.lit(True).alias("plus"))), F.transform("lacked", lambda v: F.struct(v.alias("v"), F.lit(False).alias("plus")))
+        )
+        return deltas.select("hub", "fp", F.explode(values).alias("x")).select("hub", "fp", "x.*")
+
+    def recentred(self, deltas: DataFrame) -> DataFrame:
+        """deltas against the consensus of a hub's classes, the values that more than half of them hold; h is its size."""
+        size = deltas.groupBy("hub").agg(F.count("*").alias("classes"))
+        often = self._counted(deltas).groupBy("hub", "v", "plus").agg(F.count("*").alias("df")).join(size, "hub").where("2 * df > classes")
+        # at most twice the mean delta of a list
+        turned = often.groupBy("hub").agg(F.collect_list(F.when(F.col("plus"), F.col("v"))).alias("gains"), F.collect_list(F.when(~F.col("plus"), F.col("v"))).alias("losses"))
+        x = deltas.join(turned, "hub", "left")
+        for c in ("gains", "losses"):
+            x = x.withColumn(c, F.coalesce(c, F.array().cast("array<bigint>")))
+        added = F.concat(F.array_except("added", "gains"), F.array_except("losses", "lacked"))
+        lacked = F.concat(F.array_except("lacked", "losses"), F.array_except("gains", "added"))
+        x = x.select("hub", "fp", "n", (F.col("hn") + F.size("gains") - F.size("losses")).alias("h"), added.alias("added"), lacked.alias("lacked"))
+        return staged(x.withColumn("d", F.size("added") + F.size("lacked")), "recentred")
+
+    def _apart(self, a: str, b: str) -> Column:
+        """In how many values two classes differ, from their deltas against one consensus."""
+        both = [F.size(F.array_intersect(f"{c}_{a}", f"{c}_{b}")) for c in ("added", "lacked")]
+        return (F.size(f"added_{a}") + F.size(f"lacked_{a}") + F.size(f"added_{b}") + F.size(f"lacked_{b}") - 2 * (both[0] + both[1])).cast("long")
+
+    @staticmethod
+    def _named(x: DataFrame, side: str) -> DataFrame:
+        return x.select("hub", F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("added").alias(f"added_{side}"), F.col("lacked").alias(f"lacked_{side}"))
+
+    def near_centre(self, centred: DataFrame) -> DataFrame:
+        """Links (a, b) of classes to the class nearest to their consensus."""
+        first = centred.groupBy("hub").agg(F.min(F.struct("d", "fp")).alias("x")).select("hub", F.col("x.fp").alias("fp"))
+        middle = self._named(centred.join(first, ["hub", "fp"]), "b")
+        y = self._named(centred, "a").join(middle, "hub").where("a != b")
+        return y.where(self._linked(F.col("n_a"), F.col("n_b"), self._apart("a", "b"))).select("a", "b")
+
+    def _bounds(self, d: tuple[Column, Column], m: tuple[Column, Column], r: tuple[Column, Column], h: Column) -> tuple[Column, Column, Column]:
+        """How many values two linked classes' deltas differ in at most, share at least, and share at least of what they add.
+
+        With h values in the consensus, a class that adds a values and lacks r has h + a - r = h - m. Linked classes differ in at most
+        c (|x| + |y|) values, c = (1 - t) / (1 + t), so deltas of dx and dy values share half of what dx + dy exceeds that by; of
+        those, at most the smaller r can be lacked ones. All three hold as well for bounds of d and m from below and of r from above.
+        """
+        c = (1 - self.threshold) / (1 + self.threshold)
+        reach = F.floor(F.lit(c) * (2 * h - m[0] - m[1]) + F.lit(1e-9))
+        share = F.ceil((d[0] + d[1] - reach) / 2)
+        return reach, share, share - F.least(*r)
+
+    def _prefixes(self, x: DataFrame) -> DataFrame:
+        """x with `least_added`, `least_shared` (null: no such partner) and `free`, over all partners that a class can be linked to.
+
+        Classes are binned by d and m; pairs of bins, few however many classes there are, tell what their classes must share.
+        """
+        # one value of d each below 64, from there 16 bins to every doubling; seven of m
+        x = x.withColumn("d_bin", F.when(F.col("d") < 64, F.col("d")).otherwise(64 + F.floor(16 * F.log2(F.greatest(F.col("d"), F.lit(64)) / 64))).cast("int"))
+        x = x.withColumn("m_bin", F.least(F.lit(3), F.greatest(F.lit(-3), F.ceil(F.col("m") / F.greatest(F.lit(1), F.floor(F.col("h") / 64))))).cast("int"))
+        own = ["hub", "in_top", "d_bin", "m_bin"]
+        limits = [F.min("d").alias("d_low"), F.max("d").alias("d_high"), F.min("m").alias("m_low"), F.max("r").alias("r_high"), F.max("a").alias("a_high"), F.first("h").alias("h")]
+        bins = staged(x.groupBy(*own).agg(*limits), "bins")
+        other = bins.drop("h").select("hub", *[F.col(c).alias(f"o_{c}") for c in bins.columns if c not in ("hub", "h")])
+        pairs = bins.join(other, "hub").where("not (in_top and o_in_top)")
+        both = {c: (F.col(c), F.col(f"o_{c}")) for c in ("d_low", "m_low", "r_high")}
+        reach, share, added = self._bounds(both["d_low"], both["m_low"], both["r_high"], F.col("h"))
+        pairs = pairs.withColumn("reach", reach).withColumn("share", share).withColumn("added", added)
+        pairs = pairs.where("d_low - o_d_high <= reach and o_d_low - d_high <= reach and share <= least(d_high, o_d_high) and added <= least(a_high, o_a_high)")
+        kinds = [F.min(F.when(F.col("added") >= 1, F.col("added"))).alias("least_added"), F.min(F.when((F.col("added") < 1) & (F.col("share") >= 1), F.col("share"))).alias("least_shared")]
+        needs = pairs.groupBy(*own).agg(*kinds, F.max(F.col("share") < 1).alias("free"))
+        return x.join(needs, own)
+
+    def around(self, centred: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (a, b) between classes around one consensus that aren't in one component yet.
+
+        A pair that must share additions has one in a prefix of each side's rarest additions; other pairs that must share a value
+        have one in prefixes of whole deltas; where nothing need be shared the classes meet as they are. Values held
+        once come first in a prefix but give no key. Every key carries what its place in the prefix allows (`room`), so the join
+        keeps only pairs whose own numbers put the value in both prefixes.
+        """
         ids = ["hub", "fp"]
-        spread = deltas.select(*ids, F.explode("delta").alias("v"))
+        x = centred.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        # only lists with several components can add a link, and none within the component that most of a list is in
+        by_label = x.groupBy("hub", "label").agg(F.count("*").alias("classes"))
+        top = by_label.groupBy("hub").agg(F.max(F.struct("classes", "label"))["label"].alias("top"), F.count("*").alias("labels")).where("labels > 1").select("hub", "top")
+        x = staged(x.join(top, "hub").withColumn("in_top", F.col("label") == F.col("top")).drop("top"), "open")
+        spread = self._counted(x)
         common = spread.groupBy("hub", "v").agg(F.count("*").alias("df")).where("df > 1")
-        held = spread.join(common, ["hub", "v"]).groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("h"))
-        x = deltas.select(*ids, "n", "near", F.size("delta").alias("d")).join(held, ids, "left")
-        # partners' sizes are within the threshold of this one's, so c (|x| + |y|) is at most reach
-        reach = F.floor(F.col("n") * F.lit((1 - self.threshold) / self.threshold) + F.lit(1e-9)).cast("int")
-        x = x.withColumn("reach", reach).withColumn("bin", F.floor(F.col("d") / step).cast("int"))
-        first, last = F.greatest(F.lit(0), F.floor((F.col("d") - F.col("reach")) / step)).cast("int"), F.floor((F.col("d") + F.col("reach")) / step).cast("int")
-
-        def share(other: Column) -> Column:
-            """Values that a partner in a bin of sizes shares with this delta at least."""
-            return F.ceil((F.col("d") + other * step - F.col("reach")) / 2).cast("int")
-
-        def slots(other: Column) -> Column:
-            """How many of the rarest shared values are in the prefix for a bin; values of no other class go before them."""
-            return F.col("d") - share(other) + 1 - (F.col("d") - F.coalesce(F.size("h"), F.lit(0)))
-
-        bins = F.filter(F.sequence(first, last), lambda o: (share(o) <= 0) | (slots(o) > 0))
-        x = x.select(*ids, "near", "bin", "h", "d", "reach", F.explode(bins).alias("other"))
-        # where nothing need be shared by this class's bound, its partner's may still ask for a shared value: so both kinds of key
-        none_needed = share(F.col("other")) <= 0
-        shared = F.transform(F.coalesce(F.col("h"), F.array().cast("array<struct<df:bigint,v:bigint>>")), lambda s: s["v"])
-        values = F.when(none_needed, F.concat(F.array(F.lit(None).cast("long")), shared)).otherwise(F.slice(shared, 1, F.greatest(F.lit(1), slots(F.col("other")))))
-        keys = staged(x.select(*ids, "near", "bin", "other", F.explode(values).alias("v")), "keys")
-        key = [F.col("hub"), F.least("bin", "other").alias("low"), F.greatest("bin", "other").alias("high"), F.coalesce("v", F.lit(0)).alias("v"), F.col("v").isNull().alias("any")]
-        left = keys.where("not near").select(*key, F.col("fp").alias("a"), F.col("bin").alias("ba"), F.col("other").alias("oa"))
-        right = keys.select(*key, F.col("fp").alias("b"), F.col("bin").alias("bb"), F.col("other").alias("ob"), F.col("near").alias("nb"))
-        pairs = left.join(right, ["hub", "low", "high", "v", "any"])
-        pairs = pairs.where("ba = ob and bb = oa and a != b and (nb or a < b)").select("hub", "a", "b").distinct()
-        y = pairs.join(deltas.select("hub", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("delta").alias("db")), ["hub", "b"])
-        y = y.join(deltas.select("hub", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("delta").alias("da")), ["hub", "a"])
-        apart = F.size("da") + F.size("db") - F.lit(2) * F.size(F.array_intersect("da", "db"))
-        either = (F.col("na") + F.col("nb") + apart) / 2  # the union of the full sets, exactly
-        return y.where((either - apart) * 1_000_000 >= F.lit(self.parts) * either).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, k: int = 48, small_list: int = 8
-) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id linked through), kept (id = component_id).
-
-    Words are runs of bytes other than ASCII blanks, A-Z lower-cased. Texts with
-    fewer words than `width` have their whole word sequence as one shingle; null texts and
-    texts without words have no set, link with nothing and are components of their own.
-    Null ids: component_id is the smallest id of the component, null if it has none; kept is false beside one that has.
-    Repeated rows are equal sets. Empty table: empty result. Other columns don't matter.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+        held = spread.join(common, ["hub", "v"]).groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("df", "v", "plus"))).alias("held"))
+        a, r = F.size("added"), F.size("lacked")
+        x = x.select(*ids, "label", "in_top", F.col("h").cast("int").alias("h"), a.alias("a"), r.alias("r"), (a + r).alias("d"), (r - a).alias("m"))
+        x = self._prefixes(x).join(held, ids, "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<df:bigint,v:bigint,plus:boolean>>")))
+        x = x.withColumn("plus", F.filter("held", lambda s: s["plus"]))
+
+        def prefix(kind: int, values: str, size: str, least: str) -> Column:
+            room = F.col(size) + 1 - (F.col(size) - F.size(values))  # of the first value: what must be shared has to stay below
+            keys = F.transform(values, lambda s, i: F.struct(F.lit(kind).alias("kind"), s["v"].alias("v"), (room - i).cast("long").alias("room")))
+            return F.when(F.col(least).isNotNull(), F.filter(keys, lambda s: s["room"] > F.col(least))).otherwise(F.array().cast("array<struct<kind:int,v:bigint,room:bigint>>"))
+
+        alone = F.when(F.col("free"), F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("v"), F.lit(1).cast("long").alias("room")))).otherwise(F.array().cast("array<struct<kind:int,v:bigint,room:bigint>>"))
+        keys = x.select(*ids, "label", "in_top", "h", "d", "m", "r", F.explode(F.concat(prefix(0, "plus", "a", "least_added"), prefix(1, "held", "d", "least_shared"), alone)).alias("x"))
+        keys = staged(keys.select(*ids, "label", "in_top", "h", "d", "m", "r", "x.*"), "keys")
+        key = ["hub", "kind", "v"]
+        mixed = keys.groupBy(*key).agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last").select(*key)
+        keys = keys.join(mixed, key)
+        sides = [keys.select(*key, F.col("fp").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("label", "in_top", "h", "d", "m", "r", "room")]) for n in "ab"]
+        both = {c: (F.col(f"{c}_a"), F.col(f"{c}_b")) for c in "dmr"}
+        reach, share, added = self._bounds(both["d"], both["m"], both["r"], F.col("h_a"))
+        fits = F.when(F.col("kind") == 0, (added >= 1) & (added < F.least("room_a", "room_b"))).when(F.col("kind") == 1, (share >= 1) & (share < F.least("room_a", "room_b"))).otherwise(True)
+        pairs = sides[0].where("not in_top_a").join(sides[1], key).where(fits & (F.abs(F.col("d_a") - F.col("d_b")) <= reach) & F.expr("label_a != label_b and (in_top_b or a < b)"))
+        pairs = staged(pairs.select("hub", "a", "b").distinct(), "pairs")
+        likely = self.likely(pairs.select("a", "b"))
+        pairs = pairs.join(likely.union(likely.select("b", "a")), ["a", "b"])
+        y = pairs.join(self._named(centred, "b"), ["hub", "b"]).join(self._named(centred, "a"), ["hub", "a"])
+        return staged(y.where(self._linked(F.col("n_a"), F.col("n_b"), self._apart("a", "b"))).select("a", "b"), "late")
+
+
+def _grouped(texts: DataFrame, threshold: float, width: int, k: int, small_list: int) -> DataFrame:
+    """(_key, _id, n, component, first) for rows (_key, _id, text); first: the group's row of the smallest id, of the smallest key among equal ids."""
     known = staged(texts.mapInArrow(fresh(_sets(width, k)), _SETS_SCHEMA), "sketches")
-    nodes = staged(
-        known.where("n > 0").groupBy("fp").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("values").alias("values")), "nodes"
-    )
+    first = F.min(F.struct(F.coalesce("_id", F.lit(_NO_ID)).alias("id"), F.col("_key").alias("key")))
+    nodes = known.where("n > 0").groupBy("fp").agg(first.alias("first"), F.first("n").alias("n"), F.first("values").alias("values"))
+    nodes = staged(nodes.select("fp", "n", "values", F.col("first.key").alias("key"), "first"), "nodes")
     search = _Search(texts, nodes, k, threshold, width)
     postings = nodes.select("fp", F.size("values").alias("s"), F.explode("values").alias("v"))
     common = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -205,22 +280,47 @@ def near_groups(
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members.select("fp"))
     sets = search.full_sets(wanted)
     deltas = search.deltas(members, sets)
-    near = deltas.where("near and hub != fp").select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
-    labels = components(search.verified(pairs, sets).union(near).union(search.around_hubs(deltas)))
+    near = deltas.where("near and hub != fp").select("hub", "fp")
+    centred = search.recentred(deltas)
+    links = staged(search.verified(pairs, sets).union(near).union(search.near_centre(centred)), "links")
+    labels = components(links)
+    late = search.around(centred, labels)
+    if not late.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(late))
+
+    named = nodes.select("fp", "first").join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("least"))
+    of = named.join(least, "label").select(F.col("fp").alias("_fp"), "least")
+    out = known.where("n > 0").join(of, known["fp"] == of["_fp"])
+    out = out.select("_key", "_id", "n", F.nullif("least.id", F.lit(_NO_ID)).alias("component"), F.col("_key").eqNullSafe(F.col("least.key")).alias("first"))
+    return out.union(known.where("n = 0").select("_key", "_id", "n", F.col("_id").alias("component"), F.lit(True).alias("first")))
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, k: int = 48, small_list: int = 8
+) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id linked through), kept (id = component_id).
 
-    named = nodes.select("fp", F.coalesce("id", F.lit(_NO_ID)).alias("id")).join(labels, nodes["fp"] == labels["node"], "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    first = named.groupBy("label").agg(F.min("id").alias("component"))
-    of = named.join(first, "label").select(F.col("fp").alias("_fp"), F.nullif("component", F.lit(_NO_ID)).alias("component"))
-    out = known.where("n > 0").join(of, known["fp"] == of["_fp"]).select("_id", "n", "component")
-    out = out.union(known.where("n = 0").select("_id", "n", F.col("_id").alias("component")))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
+    Words are runs of bytes other than ASCII blanks, A-Z lower-cased. Texts with
+    fewer words than `width` have their whole word sequence as one shingle; null texts and
+    texts without words have no set, link with nothing and are components of their own.
+    Null ids: component_id is the smallest id of the component, null if it has none; kept is false beside one that has.
+    Repeated rows are equal sets; a repeated id with other texts links nothing by itself. Empty table: empty result. Other columns don't matter.
+    """
+    key = F.col(id_col).cast("long")
+    rows = _grouped(docs.select(key.alias("_key"), key.alias("_id"), F.col(text_col).alias("text")), threshold, width, k, small_list)
+    return rows.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate group, the row of the smallest id, all columns as they were.
+def without_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, k: int = 48, small_list: int = 8
+) -> DataFrame:
+    """docs with one row of each near-duplicate group, a row of the smallest id (null ids last), all columns as they were.
 
-    Rows that repeat that id are told apart by nothing and stay together; drop exact copies first.
+    Exactly one row of a group stays, also where ids repeat or are null; texts without words stay. Other columns may have any name.
     """
-    kept: Column = F.col("kept")
-    ids = near_groups(docs, id_col, text_col, **options).where(kept).select(F.col(id_col).alias("_kid")).distinct()
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["_kid"]), "left_semi")
+    row = unused(docs, "row")
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    texts = keyed.select(F.col(row).alias("_key"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    kept = _grouped(texts, threshold, width, k, small_list).where("first").select(F.col("_key").alias(row))
+    return keyed.join(kept, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
