@@ -9,7 +9,8 @@ and indents, and table cells padded to aligned columns.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -22,10 +23,10 @@ from docloom.llm.worker import fresh
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes audio video canvas object svg math datalist dialog map param source track".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes audio video canvas object datalist map param source track defs desc metadata annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCKS = SPACED | frozenset(
-    "address article aside body center details dd dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option section summary caption thead tbody tfoot tr td th".split()
+    "address article aside body center details dialog dd dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option section summary caption thead tbody tfoot tr td th".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dt dd".split()
@@ -48,10 +49,17 @@ IMPLIED_END = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_SCOPE = frozenset("html table td th caption button object template".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r">|=\s*[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+_NUMBER = re.compile(r"-?[0-9]{1,9}")
+#: Cells of longer lines don't widen their column, and no cell is padded beyond twice this.
+WIDEST = 120
+#: Items and cells nested deeper are plain blocks, so that indents don't add up.
+DEEPEST = 64
 
 
 class Node:
@@ -71,15 +79,17 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class TreeBuilder:
-    """Open elements as a stack, with the number open of each name so that a useless search is never made."""
+    """Open elements as a stack, with the places of each name in it, so that nothing is searched for."""
 
     def __init__(self) -> None:
         self.root = Node("#root")
         self.stack = [self.root]
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}
 
     def text(self, data: str) -> None:
         if data:
+            if self.stack[-1].tag == "head" and not data.isspace():
+                self._pop()
             self.stack[-1].children.append(unescape(data) if "&" in data else data)
 
     def raw_text(self, data: str) -> None:
@@ -88,18 +98,21 @@ class TreeBuilder:
 
     def _pop(self) -> Node:
         node = self.stack.pop()
-        self.open[node.tag] -= 1
+        self.open[node.tag].pop()
         return node
 
+    def _innermost(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
     def _end(self, names: frozenset[str], bounds: frozenset[str]) -> None:
         """Closes the outermost open element of `names` above the nearest of `bounds`, with all inside it."""
-        if not any(self.open.get(n) for n in names):
-            return
-        k, at = len(self.stack) - 1, 0
-        while k > 0 and self.stack[k].tag not in bounds:
-            if self.stack[k].tag in names:
-                at = k
-            k -= 1
+        floor, at = self._innermost(bounds - names), 0
+        for name in names:
+            places = self.open.get(name, ())
+            k = bisect_right(places, floor)
+            if k < len(places) and (not at or places[k] < at):
+                at = places[k]
         while at and len(self.stack) > at:
             self._pop()
 
@@ -117,8 +130,8 @@ class TreeBuilder:
         node = Node(tag, _attributes(source) if source.strip(" /\t\n\r\f") else None)
         self.stack[-1].children.append(node)
         if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append(node)
-            self.open[tag] = self.open.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -127,57 +140,100 @@ class TreeBuilder:
             self.start("p", "")
             self._pop()
         elif self.open.get(tag):
-            cell = tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html")
-            k = len(self.stack) - 1
-            while self.stack[k].tag != tag:
-                if cell and self.stack[k].tag in ("td", "th", "caption"):
-                    return
-                k -= 1
-            while len(self.stack) > k:
+            at = self.open[tag][-1]
+            if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html") and self._innermost(("td", "th", "caption")) > at:
+                return
+            while len(self.stack) > at:
                 self._pop()
 
 
+class _Scanner:
+    """Where markup ends, in time linear in the page: what was once searched for in vain isn't searched for again."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.quoting = True
+
+    def tag_end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`, -1 if there is none. Quoted values may hold `>`."""
+        if at > self.last:
+            return -1
+        start = at
+        while self.quoting:
+            m = _TAG_STOP.search(self.html, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            at = self.html.find(m[0][-1], m.end()) + 1
+            if not at:
+                break
+        self.quoting = False  # a quote is never closed, so from here on quotes mean nothing
+        return self.html.find(">", start)
+
+
 def parse(html: str) -> Node:
-    """The tree of a page; never fails, whatever the markup."""
-    builder, at, size = TreeBuilder(), 0, len(html)
-    while at < size:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            builder.text(html[at:])
-            break
-        builder.text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                builder.raw_text(m[0][9:].removesuffix("]]>"))
+    """The tree of a page; never fails, whatever the markup. A `<` that begins no tag, or one without `>`, is text."""
+    builder, scanner, at, done, size = TreeBuilder(), _Scanner(html), 0, 0, len(html)
+
+    def past(mark: str, start: int) -> int:
+        found = html.find(mark, start)
+        return size if found < 0 else found + len(mark)
+
+    while (at := html.find("<", at)) >= 0:
+        m = _TAG.match(html, at)
+        if m is None and html[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            builder.end(tag)
+        stop = scanner.tag_end(m.end()) if m else 0
+        if stop < 0:
+            break
+        builder.text(html[done:at])
+        if m is None:
+            if html.startswith("<!--", at):
+                done = past("-->", at + 4)
+            elif html.startswith("<![CDATA[", at):
+                done = past("]]>", at + 9)
+                builder.raw_text(html[at + 9 : done].removesuffix("]]>"))
+            else:
+                done = past(">", at)
+            at = done
             continue
-        builder.start(tag, m[3])
-        if tag in RAW or tag in ESCAPABLE:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            inner = html[at : close.start() if close else size]
-            (builder.text if tag in ESCAPABLE else builder.raw_text)(inner)
+        tag, at = m[1].lower(), stop + 1
+        if m[0][1] == "/":
             builder.end(tag)
-            at = close.end() if close else size
+        else:
+            builder.start(tag, html[m.end() : stop])
+            if tag in RAW or tag in ESCAPABLE:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+                (builder.text if tag in ESCAPABLE else builder.raw_text)(html[at : close.start() if close else size])
+                builder.end(tag)
+                at = close.end() if close else size
+        done = at
+    builder.text(html[done:])
     return builder.root
 
 
 def visible(node: Node) -> bool:
-    if node.tag in UNSEEN:
-        return False
+    """Whether an element is rendered, its `visibility` apart."""
     a = node.attributes
+    if node.tag in UNSEEN or (node.tag == "dialog" and "open" not in a):
+        return False
     if not a:
         return True
     return not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and _HIDING.search(a["style"])))
 
 
+def _number(node: Node, name: str, otherwise: int) -> int:
+    text = node.attributes.get(name, "").strip()
+    return int(text) if _NUMBER.fullmatch(text) else otherwise
+
+
 class _Page:
     """Lines being written. A pending break is kept until text comes, so breaks never add up."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
+        self.depth = depth  # pages around this one: list items, definitions, tables and cells are pages of their own
         self.lines: list[str] = []
         self.line: list[str] = []
         self.blank = True  # the line so far ends with a space or is empty
@@ -240,42 +296,59 @@ class _Page:
         return lines
 
 
-def _span(node: Node) -> int:
-    text = node.attributes.get("colspan", "1").strip()
-    return min(int(text), 1000) if text.isdecimal() and len(text) < 6 and int(text) else 1
+def _span(node: Node, name: str) -> int:
+    n = _number(node, name, 1)
+    return min(n, 1000) if n > 0 else 1
+
 
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Table rows of (lines, columns, rows spanned) cells as lines, columns padded to equal width and set apart by ` | `.
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Table rows of (lines, columns spanned) cells as lines, columns padded to equal width and set apart by ` | `."""
+    A cell that spans rows keeps its columns free in the rows below. Lines over WIDEST are written whole
+    but widen no column, so that one long cell doesn't pad all others.
+    """
+    placed: list[list[tuple[int, int, list[str]]]] = []
     widths: list[int] = []
+    below: dict[int, int] = {}  # columns taken by cells of rows above, and for how many rows more
     for row in rows:
-        at = 0
-        for lines, span in row:
+        at, cells, taken = 0, [], dict(below)
+        for lines, span, deep in row:
+            while taken.get(at):
+                cells.append((at, 1, []))
+                at += 1
             widths.extend([0] * (at + span - len(widths)))
             if span == 1:
-                widths[at] = max([widths[at], *map(len, lines)])
+                widths[at] = max([widths[at], *(n for n in map(len, lines) if n <= WIDEST)])
+            cells.append((at, span, lines))
+            if deep > 1:
+                below.update((c, max(deep, below.get(c, 0))) for c in range(at, at + span))
             at += span
+        placed.append(cells)
+        below = {c: n - 1 for c, n in below.items() if n > 1}
     out = []
-    for row in rows:
-        for k in range(max([1, *(len(lines) for lines, _ in row)])):
-            at, parts = 0, []
-            for lines, span in row:
+    for cells in placed:
+        for k in range(max([1, *(len(lines) for _, _, lines in cells)])):
+            parts = []
+            for at, span, lines in cells:
                 room = sum(widths[at : at + span]) + 3 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
+                parts.append((lines[k] if k < len(lines) else "").ljust(min(room, 2 * WIDEST)))
             out.append(" | ".join(parts).rstrip())
     return out
 
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    page, tables, lists, pre = _Page(), [], [], 0
-    # work items: a node or text to write, or a function that ends an element
+    page, tables, lists, pre, muted = _Page(), [], [], 0, False
+    # work items: a node or text to write, a function that ends an element, or the visibility to go back to
     work: list = [root]
     while work:
         item = work.pop()
         if isinstance(item, str):
-            page.preformatted(item) if pre else page.inline(item)
+            if not muted:
+                page.preformatted(item) if pre else page.inline(item)
+            continue
+        if isinstance(item, bool):
+            muted = item
             continue
         if not isinstance(item, Node):
             page, pre = item(page, pre)
@@ -283,6 +356,10 @@ def render(root: Node) -> str:
         node, tag = item, item.tag
         if tag != "#root" and not visible(node):
             continue
+        if "style" in node.attributes and (said := _VISIBILITY.findall(node.attributes["style"])) and said[-1].lower() in ("visible", "hidden", "collapse"):
+            # `visibility` is inherited, and a descendant may turn it back
+            work.append(muted)
+            muted = said[-1].lower() != "visible"
         if tag == "br":
             page._settle()
             page.newline()
@@ -291,9 +368,10 @@ def render(root: Node) -> str:
             if tag == "hr":
                 page.block(2)
             continue
-        if tag == "table":
+        nested = page.depth < DEEPEST
+        if tag == "table" and nested:
             tables.append([])
-            outer, page, kept, pre = page, _Page(), pre, 0
+            outer, page, kept, pre = page, _Page(page.depth + 1), pre, 0
 
             def end(inner: _Page, _: int, outer=outer, kept=kept) -> tuple[_Page, int]:
                 rows = tables.pop()
@@ -303,27 +381,26 @@ def render(root: Node) -> str:
                 return outer, kept
 
             work.append(end)
-        elif tag == "tr" and tables:
+        elif tag == "tr" and tables and nested:
             tables[-1].append([])
-        elif tag in ("td", "th") and tables:
+        elif tag in ("td", "th") and tables and nested:
             if not tables[-1]:
                 tables[-1].append([])
-            row, outer, page, kept, pre = tables[-1][-1], page, _Page(), pre, 0
+            row, outer, page, kept, pre = tables[-1][-1], page, _Page(page.depth + 1), pre, 0
 
-            def end(inner: _Page, _: int, outer=outer, kept=kept, row=row, span=_span(node)) -> tuple[_Page, int]:
-                row.append((inner.done(), span))
+            def end(inner: _Page, _: int, outer=outer, kept=kept, row=row, span=_span(node, "colspan"), deep=_span(node, "rowspan")) -> tuple[_Page, int]:
+                row.append((inner.done(), span, deep))
                 return outer, kept
 
             work.append(end)
-        elif tag == "li":
+        elif tag == "li" and nested:
             kind = lists[-1] if lists else None
             if kind and kind[0] == "ol":
-                value = node.attributes.get("value", "").strip()
-                kind[1] = int(value) if value.lstrip("-").isdecimal() and len(value) < 10 else kind[1] + 1
+                kind[1] = _number(node, "value", kind[1] + 1)
                 mark = f"{kind[1]}. "
             else:
                 mark = "- "
-            outer, page, kept, pre = page, _Page(), pre, 0
+            outer, page, kept, pre = page, _Page(page.depth + 1), pre, 0
 
             def end(inner: _Page, _: int, outer=outer, kept=kept, mark=mark) -> tuple[_Page, int]:
                 lines = inner.done()
@@ -332,9 +409,8 @@ def render(root: Node) -> str:
 
             work.append(end)
         elif tag in ("ul", "ol", "menu", "dir"):
-            first = node.attributes.get("start", "1").strip()
             page.block(1 if lists else 2)
-            lists.append(["ol" if tag == "ol" else "ul", (int(first) if first.lstrip("-").isdecimal() and len(first) < 10 else 1) - 1])
+            lists.append(["ol" if tag == "ol" else "ul", _number(node, "start", 1) - 1])
 
             def end(inner: _Page, kept: int, gap=2 if len(lists) == 1 else 1) -> tuple[_Page, int]:
                 lists.pop()
@@ -342,8 +418,8 @@ def render(root: Node) -> str:
                 return inner, kept
 
             work.append(end)
-        elif tag == "dd":
-            outer, page, kept, pre = page, _Page(), pre, 0
+        elif tag == "dd" and nested:
+            outer, page, kept, pre = page, _Page(page.depth + 1), pre, 0
 
             def end(inner: _Page, _: int, outer=outer, kept=kept) -> tuple[_Page, int]:
                 outer.put(["    " + x if x else "" for x in inner.done()], 1)

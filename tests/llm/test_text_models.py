@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import re
 
 import numpy as np
@@ -177,6 +178,33 @@ def test_pages(html, text):
     assert page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<ol start="--1"><li value="--5">a<li value="-3">b<li value="9999999999">c</ol>', "1. a\n-3. b\n-2. c"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C<td>D</table>", "A | B\n  | C | D"),
+        ('<p style="visibility:hidden">x<b style="visibility: visible">y</b>z', "y"),
+        ('<p style="display:none">x<b style="visibility: visible">y</b>z', ""),
+        ("<head><title>t</title>Hello<p>w", "Hello\n\nw"),
+        ("<dialog>no</dialog><dialog open>yes</dialog><svg><title>t</title><text>a</text></svg> <math><mi>m</mi></math>", "yes\na m"),
+        ("a < b <c", "a < b <c"),
+        ('<a x="y>z', "z"),
+    ],
+)
+def test_odd_markup(html, text):
+    assert page_text(html) == text
+
+
+def test_long_broken_pages():
+    """Pages of about 1 MB that once were scanned again and again, or grew: time and size stay in proportion."""
+    pages = ["<a " * 300_000, "<a " * 300_000 + ">", '<a x="' * 150_000 + '>"', "<" * 900_000, "<b><table><td>" + "<i>" * 100_000 + "</b>" * 100_000, "<p><button>" + "<div>" * 100_000]
+    pages += ["<ul><li>" * 100_000 + "x", "<dl><dd>" * 60_000 + "<br>x" * 60_000, "<table><tr><td>" * 50_000 + "<br>x" * 50_000]
+    pages += ["<table>" + "<tr><td>a<td>b" * 60_000 + "<tr><td>" + "x" * 4000 + "<td>c</table>", "<table>" + "<tr><td colspan=1000>a<td>b" * 20_000]
+    started = time.process_time()
+    assert all(len(page_text(p)) < 20 * len(p) for p in pages)
+    assert time.process_time() - started < 60
+
+
 def test_odd_pages(spark):
     assert page_text("<div>" * 30000 + "deep" + "<table><tr><td>" * 1000 + "x").startswith("deep")
     draw = random.Random(0)
