@@ -17,12 +17,12 @@ def low(text):
     return (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-@pytest.mark.parametrize(("keep", "best"), [("smallest", min), ("largest", max)])
-def test_exact_groups(spark, keep, best):
+@pytest.mark.parametrize(("keep", "best", "fan_in_bits"), [("smallest", min, 1), ("largest", max, 2), ("largest", max, 5)])
+def test_exact_groups(spark, keep, best, fan_in_bits):
     draw = random.Random(3)
     texts = ["", None, "A", "a", "Ä", "ä", "x y", "X y", "long " * 3000]
     rows = [(i, draw.choice(texts) if i % 3 else "hot") for i in range(400)]
-    got = {r.doc_id: r for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), keep=keep, runs=16, fan_in_bits=2).collect()}
+    got = {r.doc_id: r for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(11), keep=keep, fan_in_bits=fan_in_bits).collect()}
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[low(t)].append(i)
@@ -32,7 +32,7 @@ def test_exact_groups(spark, keep, best):
 
 
 def test_exact_edges(spark):
-    schema = "doc_id long, text string, _run int, kept string"
+    schema = "doc_id long, text string, _kept_id int, _KEPT_SHA string"
     assert exact_groups(spark.createDataFrame([], schema)).count() == 0
     rows = [(5, "a", 1, "x"), (5, "a", 1, "x"), (None, "A", 2, None), (None, None, None, None), (7, "b", 0, "y")]
     df = spark.createDataFrame(rows, schema)
