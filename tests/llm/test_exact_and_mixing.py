@@ -101,9 +101,29 @@ def test_mix(spark):
 
 
 def test_mix_edges(spark):
-    schema = "doc_id long, text string, source string, size int, _n int"
+    schema = "doc_id long, text string, source string, size int, _p int"
     assert mix(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(1, None, None, 1, 1), (None, "", None, 1, 1), (2, " ", "s", 1, 1)], schema)
     assert [r.taken for r in mix(df).collect()] == [0, 0, 0] and mixed_documents(df).count() == 0
     df = spark.createDataFrame([(1, "a b", "s", 1, 1), (1, "a b", "s", 1, 1), (None, "c d e", "t", 1, 1)], schema)
     assert sum(r.taken for r in mix(df, block_words=1).collect()) in (10, 11) and mixed_documents(df, block_words=1).columns == df.columns
+
+
+def test_rows_alike_are_taken_as_planned(spark):
+    rows = [(i, f"t{i} " * (5 + i % 7), "s" if i % 3 else "t", i) for i in range(60)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int").repartition(3)
+    planned = sum(r.taken for r in mix(df, block_words=8, shard_words=100).collect())
+    given = mixed_documents(df, block_words=8, shard_words=100)
+    assert given.columns == df.columns and sum(len(WORD.findall(r.text)) for r in given.collect()) == planned
+
+
+def test_many_shards_go_down_a_tree(spark):
+    """Shards beyond one array: quotas still add up to the source's, each near its share."""
+    from docloom.llm import mixing
+
+    rows = [(i, "w " * 20, "a") for i in range(900)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = base.select(*mixing._sized(base, "doc_id", "text", "source"))
+    flat, deep = ({r._id: r.taken for r in mixing._planned(sized, 1.5, 2.0, (5.0, 2.0, 1.0), 8, 300, 17, fan_out=f).collect()} for f in (512, 4))
+    assert sum(flat.values()) == sum(deep.values()) and abs(sum(deep.values()) - 27000) <= 8
+    assert all(0 <= t <= 40 for t in deep.values())
