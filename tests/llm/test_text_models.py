@@ -144,12 +144,48 @@ def test_toxicity(spark):
     words = [f"w{c}{d}ord" for c in "abcdefgh" for d in "klmn"]
     rows = [(i, " ".join(draw.choice(words) for _ in range(30)) + (" Insult " + draw.choice(["insulting", "vile"]) if i % 4 == 0 else "")) for i in range(600)]
     docs = spark.createDataFrame([*rows, (None, None), (9999, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(2, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), i % 2) for i in range(300)] + [(2, None, 1)], "doc_id long, toxic int, quality int")
     chain = toxicity.fit(docs, labels)
     got = {r.doc_id: r for r in toxicity.predict(docs, chain).collect()}
     assert all(got[i].predicted == (i % 4 == 0) for i in range(600)) and len(got) == 602 and got[9999].predicted == got[None].predicted == 0
     assert len(chain.weights[2]) == len(chain.weights[0]) + 2  # the last model sees both earlier categories
-    assert {r.predicted for r in toxicity.predict(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0}
+    alone = {"toxic": "toxic = 1"}
+    assert {r.predicted for r in toxicity.predict(docs, toxicity.fit(docs, labels.where("toxic = 0").drop("quality"), categories=alone)).collect()} == {0}
+    empty = docs.where("doc_id = -1")
+    assert toxicity.predict(empty, chain).count() == 0 and toxicity.predict(docs, toxicity.fit(empty, labels)).count() == 602
+
+
+def test_chain_is_sequential():
+    """Against a chain in plain loops: each model is trained on out-of-fold, and applied to actual, earlier probabilities."""
+    draw = np.random.default_rng(3)
+    x = (draw.random((240, 6)) < 0.4).astype(np.float32)
+    y = np.column_stack([x[:, 0], (x[:, 1] + x[:, 0] > 1) | (draw.random(240) < 0.1), x[:, 2]]).astype(float)
+    fold, used = draw.integers(0, 3, 240), draw.random((4, 6)) < 0.8
+    weights = toxicity.fit_chain(x, y, fold, used)
+    earlier = []
+    for k in range(3):
+        mine = [np.array([[*row[u], *[e[i] for e in earlier]] for i, row in enumerate(x)], np.float32) for u in used]
+        assert np.allclose(weights[k], toxicity.logistic(mine[3], y[:, k]))
+        out = np.zeros(240)
+        for j in range(3):
+            w = toxicity.logistic(mine[j][fold != j], y[fold != j, k])
+            for i in np.flatnonzero(fold == j):
+                out[i] = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(mine[j][i], w[:-1], strict=True)) + w[-1])))
+        earlier.append(out)
+    chain = toxicity.Chain(toxicity.Terms(np.arange(used[3].sum(), dtype=np.uint64)), ["a", "b", "c"], weights)
+    p = chain.probabilities(x[:, used[3]])
+    for i in range(0, 240, 40):
+        seen = []
+        for w in weights:
+            seen.append(1 / (1 + np.exp(-(sum(a * b for a, b in zip([*x[i, used[3]], *seen], w[:-1], strict=True)) + w[-1]))))
+        assert np.allclose(p[i], seen)
+
+
+def test_terms_are_whole_words():
+    piece = next(slices(pa.array(["Straightforwardly straightforwardness", "доброжелательный", "", "很好的东西"])))
+    gram, text = toxicity.terms_of(piece)
+    by_text = [set(gram[text == i].tolist()) for i in range(4)]
+    assert [len(s) for s in by_text] == [2, 1 + 14, 0, 1 + 4]
 
 
 @pytest.mark.parametrize(
