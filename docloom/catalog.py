@@ -84,11 +84,18 @@ def _leafs() -> None:
     QUERIES["path_nested"], ORACLES["path_nested"] = nested, "select p_partkey, p_brand as brand from part where p_size > 25"
 
 
+def _present_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twenty with the field and the first twenty without it."""
+    rows = _opt(spark, sf_dir)
+    return find(rows, {"sort": {"asc": "big"}, "sector": {"offset": rows.where("big is not null").count() - 20, "limit": 40}}, ("o_orderkey",))
+
+
 def _shape() -> None:
     _find("sort_asc_limit", "events", {"sort": {"asc": "value"}, "sector": {"limit": 25}}, "select * from events order by value asc nulls last, event_id limit 25", ("event_id",))
     _find("sort_desc_offset_limit", "orders", {"sort": {"desc": "o_totalprice"}, "sector": {"offset": 20, "limit": 10}}, "select * from orders order by o_totalprice desc nulls last, o_orderkey limit 10 offset 20", ("o_orderkey",))
-    _find("sort_missing_last", _opt, {"sort": {"desc": "big"}, "sector": {"offset": 5, "limit": 14000}}, f"select * from {_OPT} order by big desc nulls last, o_orderkey limit 14000 offset 5", ("o_orderkey",))
-    _find("sort_asc_missing_last", _opt, {"sort": {"asc": "big"}, "sector": {"offset": 3, "limit": 13000}}, f"select * from {_OPT} order by big asc nulls last, o_orderkey limit 13000 offset 3", ("o_orderkey",))
+    _find("sort_missing_last", _opt, {"sort": {"desc": "big"}, "sector": {"offset": 5}}, f"select * from {_OPT} order by big desc nulls last, o_orderkey offset 5", ("o_orderkey",))
+    QUERIES["sort_asc_missing_last"] = _present_and_missing
+    ORACLES["sort_asc_missing_last"] = f"select * from {_OPT} order by big asc nulls last, o_orderkey limit 40 offset (select count(big) - 20 from {_OPT})"
     _find("sector_offset_limit", "events", {"sector": {"offset": 20, "limit": 10}}, "select * from events order by event_id limit 10 offset 20", ("event_id",))
     _find("sector_skips_matches", "events", {"query": {"event_type": "click"}, "sector": {"offset": 7, "limit": 30}}, "select * from events where event_type = 'click' order by event_id limit 30 offset 7", ("event_id",))
     _find("project_pick", "customer", {"projection": {"pick": ["c_name", "c_custkey", "none"]}}, "select c_custkey, c_name from customer")
@@ -131,12 +138,19 @@ def _writes() -> None:
     _update("update_literal_document", "nation", {"n_regionkey": 1}, {"doc": {"name": "$.n_name", "n": {"$minus": ["$.n_nationkey", 1]}}}, "select n_nationkey, case when n_regionkey = 1 then n_name end as name, case when n_regionkey = 1 then (n_nationkey - 1)::bigint end as n from nation", ["n_nationkey", "doc.name", "doc.n"])
 
     def moment(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = find(_table(spark, sf_dir, "orders"), {"query": {"o_orderkey": {"$lt": 100}}})
-        out = update(rows, {}, {"at": {"$isoDateTime": {"$concat": ["2024-04-22T12:20:30", ".4569+02:00"]}}, "now": "$$now"}, now=dt.datetime(2023, 11, 14, 22, 13, 20, 123000))
+        program = {"at": {"$isoDateTime": {"$concat": ["2019-07-05T03:15:41", ".2068-03:30"]}}, "now": "$$now"}
+        out = update(_table(spark, sf_dir, "orders"), {}, program, now=dt.datetime(2021, 9, 8, 7, 6, 5, 432000))
         return out.select("o_orderkey", F.unix_millis("at").alias("ms"), F.unix_millis("now").alias("now_ms"))
 
     QUERIES["update_iso_datetime"] = moment
-    ORACLES["update_iso_datetime"] = "select o_orderkey, epoch_ms(timestamp '2024-04-22 10:20:30.456') as ms, 1700000000123::bigint as now_ms from orders where o_orderkey < 100"
+    ORACLES["update_iso_datetime"] = "select o_orderkey, epoch_ms(timestamp '2019-07-05 06:45:41.206') as ms, epoch_ms(timestamp '2021-09-08 07:06:05.432') as now_ms from orders"
+
+    def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = update(_table(spark, sf_dir, "nation"), {"query": {"n_regionkey": {"$lte": 2}}}, {"names": ["$.n_name", "and", {"$concat": ["$.n_name", "!"]}]})
+        return out.select("n_nationkey", *[F.col("names")[k].alias(f"name{k}") for k in range(3)], F.size("names").alias("n"))
+
+    QUERIES["update_literal_array"] = arrays
+    ORACLES["update_literal_array"] = "select n_nationkey, case when n_regionkey <= 2 then n_name end as name0, case when n_regionkey <= 2 then 'and' end as name1, case when n_regionkey <= 2 then n_name || '!' end as name2, (case when n_regionkey <= 2 then 3 end)::int as n from nation"
     QUERIES["delete_matching"] = lambda s, d: delete(_table(s, d, "events"), {"query": {"event_type": "error"}})
     ORACLES["delete_matching"] = "select * from events where not coalesce(event_type = 'error', false)"
 

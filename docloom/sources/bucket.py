@@ -21,6 +21,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom import errors as E
 from docloom.functions.bson import decode, encode
@@ -432,23 +433,26 @@ class Bucket:
         chosen, struct = rows.where(match).orderBy(SEQ), state.struct
         fields = [n for n in struct.names if n != SEQ]
 
-        def run(frames):
-            import pandas as pd
+        dynamic, names_out, target = state.dynamic, struct.names, to_arrow_schema(struct)
 
-            for frame in frames:
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
                 out = []
-                for record in frame.to_dict("records"):
+                for record in batch.to_pylist():
                     seq = record.pop(SEQ)
-                    old = decode(record["doc"]) if state.dynamic else {k: v for k, v in record.items() if v is not None and v == v}
+                    old = decode(record["doc"]) if dynamic else {k: v for k, v in record.items() if v is not None}
                     new = change(dict(old))
                     if new is None:
                         continue
                     new = {"_id": old["_id"], **new} if "_id" not in new and "_id" in old else new
-                    row = {"doc": encode(new), "_id": encode({"_id": new.get("_id")})} if state.dynamic else {n: new.get(n) for n in fields}
+                    row = {"doc": encode(new), "_id": encode({"_id": new.get("_id")})} if dynamic else {n: new.get(n) for n in fields}
                     out.append(row | {SEQ: seq})
-                yield pd.DataFrame(out, columns=struct.names).astype(object).where(lambda x: x.notna(), None)
+                yield from pa.Table.from_pylist(out, target).select(names_out).to_batches()
 
-        changed = chosen.mapInPandas(run, struct)
+        # values stay as they are stored: no detour over floats, and NaN is a value
+        changed = chosen.mapInArrow(run, struct)
         new, n, written = self._replaced(state, names, rows.where(~match), changed)
         before = chosen.count()
         new.doc_count, new.deleted_count = state.doc_count - before + n, state.deleted_count + before

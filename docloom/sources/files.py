@@ -75,9 +75,18 @@ class Files:
         self._fs.delete(self._path(name), True)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Unset, local sessions get a temporary one; on a cluster that's an error."""
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{key} names no folder: executors would each write to a disk of their own")
+        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set(key, root)
+    return root.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A folder for a bucket that nobody named: within the session's checkpoint folder, or a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/docloom-buckets/{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    return "file://" + tempfile.mkdtemp(prefix="docloom-bucket-")
+    """A folder for a bucket that nobody named, in the shared one."""
+    return f"{shared_root(spark)}/docloom-buckets/{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"

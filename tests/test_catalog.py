@@ -30,7 +30,7 @@ def test_all_have_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES) + ["bucket_update_sector", "bucket_changes", "dynamic_sort"])
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES) + ["bucket_update_sector", "bucket_changes", "dynamic_sort", "bucket_transform", "bucket_counts", "bucket_indexes", "bucket_poll", "bucket_live_tail", "json_codec", "record_codec"])
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, SF)
     expected = sql.sql(ORACLES[name])
