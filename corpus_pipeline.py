@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from docloom.llm.exact_dedup import without_exact_copies
-from docloom.llm.language import fit, identify
+from docloom.llm.language import fit, of_a_language
 from docloom.llm.lineage import staged
 from docloom.llm.mixing import mixed_documents
 from docloom.llm.near_dedup import without_near_copies
@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of no language: null ones and those without a letter. Learns from the labelled rows of docs."""
-    judged = identify(docs, fit(docs), keep=docs.columns)
-    return judged.where("lang_pred != 'und'").select(*docs.columns)
+    return of_a_language(docs, fit(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

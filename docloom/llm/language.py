@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.lineage import unused
 from docloom.llm.textvec import LOWER, Slice, mix, plain_column, slices
 from docloom.llm.worker import fresh
 
@@ -143,11 +144,14 @@ def identify(docs: DataFrame, model: BloomMasks, id_col: str = "doc_id", text_co
 
     lang_pred is `und`, with score 0, for a null text, a text without a letter and where nothing was learned; score is
     the winner's part of all languages' shares. A text with letters too short for an n-gram gets the commonest language.
-    Ties go to the first language in code point order. Empty table: empty result.
+    Ties go to the first language in code point order. Repeated rows and null ids: each row by itself. Empty table: empty result.
+    Kept columns may have any names but those of the two results, which are refused.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*(keep or [id_col]))
     fields = [f.name for f in kept.schema.fields]
+    if clash := {f.lower() for f in fields} & {"lang_pred", "score"}:
+        raise ValueError(f"columns named like the results: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -170,4 +174,11 @@ def identify(docs: DataFrame, model: BloomMasks, id_col: str = "doc_id", text_co
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select(*(keep or [id_col]), F.col(text_col).alias("_text")).mapInArrow(fresh(run), f"{schema}, lang_pred string, score double")
+    return docs.select(*(keep or [id_col]), F.col(text_col).alias(unused(kept, "text"))).mapInArrow(fresh(run), f"{schema}, lang_pred string, score double")
+
+
+def of_a_language(docs: DataFrame, model: BloomMasks, text_col: str = "text") -> DataFrame:
+    """The rows of docs that have a language (lang_pred is not `und`), with their columns, whatever their names."""
+    whole = unused(docs, "row")
+    judged = identify(docs, model, text_col=text_col, keep=[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole)])
+    return judged.where("lang_pred != 'und'").select(*[F.col(whole)[c].alias(c) for c in docs.columns])

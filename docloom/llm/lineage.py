@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one, set in the session, where none is named (tests)."""
-    root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set(_KEY, root)
-    return root.rstrip("/")
+from docloom.sources.files import shared_root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

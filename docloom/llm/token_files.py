@@ -58,6 +58,7 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     parts: int | None = None,
+    part_bytes: int = 256 << 20,
     row_group_bytes: int = 32 << 20,
     page_bytes: int = 256 << 10,
     page_rows: int = 2000,
@@ -65,9 +66,12 @@ def write_tokens(
     """Writes every document's ids, end id last, in ascending id order (null ids first, repeated ids by text).
 
     Null text: only the end id. Empty table: a file without rows. Other columns aren't written.
+    Files are as many as shuffle partitions, or as the input has `part_bytes` if that's more, unless `parts` says so.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, for a table that is read
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes) if size < 1 << 60 else 0)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     options = {

@@ -250,3 +250,13 @@ def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string")
     out = extract(pages)
     assert out.columns == ["page_id", "url", "text"] and sorted(str(r.text) for r in out.collect()) == ["", "a", "a"] and extract(pages.where("false")).count() == 0
+
+
+def test_language_stage_with_clashing_columns(spark):
+    rows = [(1, "some words here", "en", 1, "a", 0.5), (2, "des mots ici", "fr", 2, None, None), (3, "123", "en", 3, "b", 0.1), (None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text int, lang_pred string, score double")
+    model = language.fit(docs)
+    kept = language.of_a_language(docs, model)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:2] * 2)
+    with pytest.raises(ValueError):
+        language.identify(docs, model, keep=docs.columns)
