@@ -108,6 +108,8 @@ def _planned(
     if not cap >= share > 0:
         raise ValueError("cap >= share > 0 is needed")
     sizes = staged(rows.select("_id", "source", "size"), "sizes")
+    if rows.columns == sizes.columns:  # nothing to carry: words needn't be counted again
+        rows = sizes
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     block, blocks = F.lit(int(block_words)), F.round(F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy()) / F.lit(float(block_words))).cast("long")
     listed = targets.withColumn("_blocks", blocks).groupBy().agg(F.sort_array(F.collect_list(F.struct("_rank", "source", "source_size", "target"))).alias("_s"), F.max("_blocks").alias("_blocks"))
