@@ -19,10 +19,10 @@
 
 What can be lost: a link whose sketches are 6.5 standard deviations off. Up to k values a sketch is the
 whole set and nothing is lost; for larger sets at the very threshold the chance is P(Binomial(k, threshold) < need) at
-most, 2e-8 for k = 48 and 0.85, and falls fast above it; a component loses a row only if all its links are.
+most, 2.2e-9 for k = 48 and 0.85, and falls fast above it; a component loses a row only if all its links are.
 Work: hubs, consensus and deltas are linear in a list's classes. Pairs are formed only between
-components that share rare additions (or, where classes chiefly lack text, rare omissions), so a family of edited
-copies doesn't grow with the square of its size, linked or not.
+components that share rare additions (or, where classes chiefly lack text, rare omissions). That keeps families of edited
+copies small, but is no bound: where edits draw on few words, unlinked copies do share them, and pairs grow faster than the family.
 """
 
 from __future__ import annotations
