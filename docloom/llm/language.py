@@ -26,6 +26,7 @@ from docloom.llm.textvec import LOWER, Slice, mix, plain_column, slices
 from docloom.llm.worker import fresh
 
 WIDTHS = (3, 5)
+_SLICE_BYTES = 1 << 16  # the arrays of a slice stay in a core's cache
 _LETTERLIKE = np.zeros(256, bool)
 _LETTERLIKE[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
@@ -39,20 +40,29 @@ def letters(piece: Slice) -> np.ndarray:
     return np.where(_LETTERLIKE[b], b, np.uint8(0x20))
 
 
-def ngrams(piece: Slice, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a slice's n-grams of one width, and their texts. None crosses texts or has two blanks together."""
+def ngrams(piece: Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each width, hashes of a slice's n-grams in order, and for each text the index of its first one (one more than texts).
+
+    No n-gram crosses texts or has two blanks together.
+    """
     b = letters(piece)
-    n = len(b) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    packed = np.full(n, width, np.uint64)
-    for k in range(width):
-        packed = (packed << np.uint64(8)) | b[k : k + n]
+    wide = b.astype(np.uint64)
     gap = (b[:-1] == 0x20) & (b[1:] == 0x20)
-    gap[piece.offsets[1:-1][(piece.offsets[1:-1] > 0) & (piece.offsets[1:-1] < len(b))] - 1] = True
+    inner = piece.offsets[1:-1]
+    gap[inner[(inner > 0) & (inner < len(b))] - 1] = True
     crossed = np.concatenate([[0], np.cumsum(gap)])
-    at = np.flatnonzero(crossed[width - 1 : width - 1 + n] == crossed[:n])
-    return mix(packed[at]), np.searchsorted(piece.offsets, at, "right") - 1
+    for width in WIDTHS:
+        n = len(b) - width + 1
+        if n <= 0:
+            yield np.zeros(0, np.uint64), np.zeros(piece.n + 1, np.int64)
+            continue
+        packed = np.full(n, width, np.uint64)
+        for k in range(width):
+            packed <<= np.uint64(8)
+            packed |= wide[k : k + n]
+        whole = crossed[width - 1 : width - 1 + n] == crossed[:n]
+        before = np.concatenate([[0], np.cumsum(whole)])
+        yield mix(packed[whole]), before[np.minimum(piece.offsets, n)]
 
 
 def slots_of(gram: np.ndarray, hashes: int, size: int) -> Iterator[np.ndarray]:
@@ -62,11 +72,18 @@ def slots_of(gram: np.ndarray, hashes: int, size: int) -> Iterator[np.ndarray]:
         yield ((gram + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
+# bits 0 and 1 of a number come to bits 0 and 32
+_SPREAD, _LANES = np.uint64((1 << 31) + 1), np.uint64((1 << 32) + 1)
+
+
 class BloomMasks:
     """Slots of language masks; languages in code point order, 64 to a word."""
 
     def __init__(self, languages: list[str], counts: list[int], masks: np.ndarray, hashes: int):
-        self.languages, self.masks, self.hashes = languages, masks, hashes
+        self.languages, self.hashes = languages, hashes
+        # no wider than the languages need, and word after word: what is looked up at random stays small
+        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(64, len(languages)))
+        self.masks = np.asfortranarray(masks.astype(width))
         self.prior = int(np.argmax(counts)) if counts else -1
         size = len(masks)
         fill = [((masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum() / size for k in range(len(languages))]
@@ -75,17 +92,20 @@ class BloomMasks:
     def shares(self, piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Corrected shares (texts x languages) and the number of n-grams of each text."""
         total, found = np.zeros(piece.n), np.zeros((piece.n, len(self.languages)))
-        for width in WIDTHS:
-            gram, text = ngrams(piece, width)
-            if not len(gram):
-                continue
-            mask = None
-            for slot in slots_of(gram, self.hashes, len(self.masks)):
-                mask = self.masks[slot] if mask is None else mask & self.masks[slot]
-            total += np.bincount(text, minlength=piece.n)
-            for k in range(len(self.languages)):
-                bit = (mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
-                found[:, k] += np.bincount(text[bit.astype(bool)], minlength=piece.n)
+        for gram, bounds in ngrams(piece):
+            total += np.diff(bounds)
+            words: list[np.ndarray] = [np.zeros(0)] * self.masks.shape[1]
+            for first, slot in enumerate(slots_of(gram, self.hashes, len(self.masks))):
+                for w in range(len(words)):
+                    words[w] = words[w] & self.masks[slot, w] if first else self.masks[slot, w]
+            for k in range(0, len(self.languages), 2):
+                # two languages' bits to one sum, 32 bits each: differences stay right though the sums wrap around
+                two = (words[k // 64].astype(np.uint64) >> np.uint64(k % 64)) & np.uint64(3)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((two * _SPREAD) & _LANES)])
+                got = sums[bounds[1:]] - sums[bounds[:-1]]
+                found[:, k] += got & np.uint64(0xFFFFFFFF)
+                if k + 1 < len(self.languages):
+                    found[:, k + 1] += got >> np.uint64(32)
         share = found / np.maximum(total, 1)[:, None]
         return np.clip((share - self.false_rate) / (1 - self.false_rate), 0, 1), total
 
@@ -95,9 +115,8 @@ def _count(languages: dict[str, int]):
         for batch in batches:
             code = np.array([languages[x] for x in batch.column(0).to_pylist()], np.uint64)
             for piece in slices(batch.column(1)):
-                for width in WIDTHS:
-                    gram, text = ngrams(piece, width)
-                    lang = code[piece.first + text]
+                for gram, bounds in ngrams(piece):
+                    lang = np.repeat(code[piece.first : piece.first + piece.n], np.diff(bounds))
                     for k in np.unique(lang).tolist():
                         value, n = np.unique(gram[lang == k], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
@@ -157,7 +176,7 @@ def identify(docs: DataFrame, model: BloomMasks, id_col: str = "doc_id", text_co
         model = shared.value
         for batch in batches:
             texts = plain_column(batch.column(len(fields)))
-            for piece in slices(texts):
+            for piece in slices(texts, _SLICE_BYTES):
                 share, total = model.shares(piece) if model.languages else (np.zeros((piece.n, 1)), np.zeros(piece.n))
                 best = share.argmax(1)
                 score = share[np.arange(piece.n), best] / np.maximum(share.sum(1), 1e-12)

@@ -110,6 +110,41 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"} and language.identify(df.where("false"), model).count() == 0
 
 
+def plain_hash(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % (1 << 64)
+    return x ^ x >> 31
+
+
+@pytest.mark.parametrize("count", [1, 3, 8, 9, 66])
+@pytest.mark.parametrize("size", [30, 1 << 16])
+def test_shares_are_those_of_plain_python(count, size):
+    """Looked up n-grams, per-language popcounts and their correction, one n-gram at a time."""
+    texts = ["", "a", "The  cat, 12 sat", "ÀB é", "日本語 текст", "x" * 300, None, "über alles   in der Welt " * 9, "ab"]
+    slot_bits, hashes, words = 10, 3, -(-count // 64)
+    draw = np.random.default_rng(count)
+    masks = draw.integers(0, 1 << 63, (1 << slot_bits, words)).astype(np.uint64) << np.uint64(1) | draw.integers(0, 2, (1 << slot_bits, words)).astype(np.uint64)
+    masks[:, -1] &= np.uint64((1 << (count - 64 * (words - 1))) - 1)
+    model = language.BloomMasks([f"l{k:02d}" for k in range(count)], [1] * count, masks, hashes)
+    whole = [sum(int(m) << 64 * w for w, m in enumerate(row)) for row in masks]
+    got = [(row, n) for piece in slices(pa.array(texts), size) for row, n in zip(*model.shares(piece), strict=True)]
+    for text, (row, n) in zip(texts, got, strict=True):
+        letters = "".join(c if c.isascii() and c.isalpha() or ord(c) > 0x7F else " " for c in (text or "").lower()).encode()
+        grams = [letters[i : i + w] for w in language.WIDTHS for i in range(len(letters) - w + 1) if b"  " not in letters[i : i + w]]
+        found = [0] * count
+        for g in grams:
+            value = plain_hash(int.from_bytes(bytes([len(g)]) + g))
+            mask = -1
+            for k in range(hashes):
+                mask &= whole[(value + k * (value >> 32 | 1)) % (1 << slot_bits)]
+            for k in range(count):
+                found[k] += mask >> k & 1
+        assert n == len(grams)
+        for k in range(count):
+            false = min(0.95, (sum(m >> k & 1 for m in whole) / len(whole)) ** hashes)
+            assert row[k] == pytest.approx(max(0, (found[k] / max(1, len(grams)) - false) / (1 - false)), abs=1e-12)
+
+
 def test_many_languages_and_filter_slots(spark):
     rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}qz" * 20, f"l{i:02d}") for i in range(70) for _ in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
