@@ -55,6 +55,28 @@ def _byte_cuts(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.searchsorted(starts, off)
 
 
+class _Growing:
+    """An array that takes more values at its end; its room doubles, so values are seldom moved."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(1 << 12, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = values
+        self.n = end
+
+
 class Encoder:
     """Ids of texts, appended with one end id. A Python worker keeps one until a task of another kind runs."""
 
@@ -83,9 +105,7 @@ class Encoder:
         """An empty open-addressing table: key and entry number per slot; entries hold where ids are and how many."""
         self.slot_key = np.zeros(1 << TABLE_BITS, np.uint64)
         self.slot_entry = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.at, self.size, self.ids = _Growing(np.int64), _Growing(np.int32), _Growing(np.uint32)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entry numbers of keys, -1 where unknown."""
@@ -153,9 +173,10 @@ class Encoder:
             size[plain] = done[0]
             at[plain] = len(self.ids) + len(flat) + np.cumsum(done[0]) - done[0]
             flat = np.concatenate([flat, done[1]])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids.add(flat)
         self._insert(keys, np.arange(len(self.at), len(self.at) + len(keys), dtype=np.int32))
-        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        self.at.add(at)
+        self.size.add(size)
 
     def encode(self, piece: Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice's texts, end ids included, and the offsets of the texts among them."""
