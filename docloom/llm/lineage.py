@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.sources.files import shared_root
+from docloom.sources.files import Files, shared_root
+
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -17,7 +20,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: lost executors cost nothing that came before."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Removes the folder of a staged table that no later plan reads."""
+    Files(table.sparkSession, _folders.pop(table)).delete("")
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.lineage import staged, unused
+from docloom.llm.lineage import drop, staged, unused
 from docloom.llm.textvec import slices, text_sets
 from docloom.llm.worker import fresh
 
@@ -78,19 +78,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, for edges (a, b).
 
     Labels spread to neighbours and then jump to their label's label, so chains shorten
-    by half at least in each round; every round is a written table.
+    by half at least in each round; every round is a written table, which the next one replaces.
     """
     both = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "links")
-    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    table = staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
     while True:
+        labels = table.select("node", "label")
         seen = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("seen"))
         spread = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
         to = labels.select(F.col("node").alias("t"), F.col("label").alias("jump"))
         step = spread.join(to, spread["label"] == to["t"]).select("node", "was", F.least("label", "jump").alias("label"))
-        labels = staged(step, "labels")
-        if labels.where(F.col("label") != F.col("was")).isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        before, table = table, staged(step, "labels")
+        drop(before)
+        if table.where(F.col("label") != F.col("was")).isEmpty():
+            drop(both)
+            return table.select("node", "label")
 
 
 class _Search:

@@ -6,7 +6,8 @@ import re
 import pytest
 from docloom.llm import near_dedup
 from docloom.llm.lineage import staged
-from docloom.llm.near_dedup import near_groups, needed, without_near_copies
+from docloom.llm.near_dedup import components, near_groups, needed, without_near_copies
+from docloom.sources.files import Files, shared_root
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -118,3 +119,12 @@ def test_edges(spark):
 
 def test_needed():
     assert needed(48, 0.85) == 24 and needed(1, 0.85) == 1
+
+
+def test_components_keep_one_table(spark):
+    """A chain needs several rounds; the tables of all but the last are removed."""
+    folder = Files(spark, f"{shared_root(spark)}/docloom")
+    before = set(folder.names(""))
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91)], "a long, b long"))
+    assert {r.node: r.label for r in found.collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 91: 90}
+    assert [n.split("-")[0] for n in set(folder.names("")) - before] == ["labels"]
