@@ -6,6 +6,7 @@ import dataclasses
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,29 +43,24 @@ def _parts(spark: SparkSession, sf_dir: str) -> Bucket:
 def _documents(spark: SparkSession, sf_dir: str) -> Bucket:
     """A bucket of BSON documents in which p_size is missing, a string or an integer by turns."""
 
-    def run(frames):
-        for frame in frames:
-            docs = []
-            for r in frame.itertuples():
-                d = {"_id": int(r.p_partkey), "name": r.p_name, "tags": r.p_name.split(" ")}
-                if r.p_partkey % 5:
-                    d["size"] = str(r.p_size) if r.p_partkey % 5 == 1 else int(r.p_size)
-                docs.append(encode(d))
-            yield frame[[]].assign(doc=docs)
+    @F.pandas_udf("binary")  # Spark runs it and the bucket's own function in one Python process
+    def made(keys: pd.Series, names: pd.Series, sizes: pd.Series) -> pd.Series:
+        docs = []
+        for key, name, size in zip(keys, names, sizes, strict=True):
+            d = {"_id": int(key), "name": name, "tags": name.split(" ")}
+            if key % 5:
+                d["size"] = str(size) if key % 5 == 1 else int(size)
+            docs.append(encode(d))
+        return pd.Series(docs, dtype="object")
 
     bucket = Bucket.open(spark, scratch(spark))
-    bucket.insert(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size").mapInPandas(run, "doc binary"))
+    bucket.insert(spark.read.parquet(f"{sf_dir}/part.parquet").select(made("p_partkey", "p_name", "p_size").alias("doc")))
     return bucket
 
 
-def _ids(found: DataFrame) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(decode(d)["_id"]) for d in batch.column("doc").to_pylist()], pa.int64())], ["_id"])
-
-    return found.select("doc").mapInArrow(run, "_id long")
+def _ids(bucket: Bucket, query: dict) -> DataFrame:
+    """The keys of the matches, read in the step that finds them."""
+    return bucket.find(query, lambda d: int(d["_id"]), "long").withColumnRenamed("doc", "_id")
 
 
 def _one(spark: SparkSession, **values: object) -> DataFrame:
@@ -191,12 +187,12 @@ def bucket_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("select p_partkey as _id from part where p_partkey % 5 = 1 or (p_partkey % 5 > 1 and p_size > 30)")
 def dynamic_cross_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings rank above numbers, missing fields match nothing."""
-    return _ids(_documents(spark, sf_dir).find({"query": {"size": {"$gt": 30}}}))
+    return _ids(_documents(spark, sf_dir), {"query": {"size": {"$gt": 30}}})
 
 
 @_query("select p_partkey as _id from part where p_name like '%red%' and list_contains(string_split(p_name, ' '), 'red') and p_partkey % 5 = 0")
 def dynamic_array_and_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(_documents(spark, sf_dir).find({"query": {"tags": "red", "size": {"$notExists": True}}}))
+    return _ids(_documents(spark, sf_dir), {"query": {"tags": "red", "size": {"$notExists": True}}})
 
 
 @_query(
@@ -209,7 +205,7 @@ def dynamic_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = _documents(spark, sf_dir)
     strings = bucket.find({"query": {"size": {"$gte": ""}}}).count()
     numbers = bucket.find({"query": {"size": {"$lt": ""}}}).count()
-    return _ids(bucket.find({"sort": {"asc": "size"}, "sector": {"offset": numbers - 20, "limit": strings + 40}}))
+    return _ids(bucket, {"sort": {"asc": "size"}, "sector": {"offset": numbers - 20, "limit": strings + 40}})
 
 
 @_query(
@@ -332,4 +328,4 @@ def dynamic_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = _documents(spark, sf_dir)
     bucket.delete({"query": {"$nor": [{"size": {"$lt": ""}}]}})
     bucket.update({}, {"0": {"now.size": {"$plus": ["$.size", 1]}}, "1": {"$unset": ["size", "tags"]}})
-    return _ids(bucket.find({"query": {"now.size": {"$gt": 30}, "size": {"$notExists": 1}}}))
+    return _ids(bucket, {"query": {"now.size": {"$gt": 30}, "size": {"$notExists": 1}}})

@@ -81,9 +81,33 @@ def entry_keys(df: DataFrame, path: str, sparse: bool, keep: tuple[str, ...] = (
     return df.select(F.explode(keys).alias("key"), *keep)
 
 
-def find_documents(df: DataFrame, query: dict | QuerySpec, tie: str = "_seq") -> DataFrame:
-    """Filter, sort, slice and project rows (doc, …, tie) of BSON documents."""
+def _found(filters: tuple[Filter, ...], f: Callable[[dict], object], returns: str) -> Callable:
+    """A struct of whether a document matches and, if so, what f makes of it. One step for both: every step on its own is one more Python process a core."""
+
+    @F.pandas_udf(f"hit boolean, doc {returns}")
+    def run(docs: pd.Series) -> pd.DataFrame:
+        hits, made = [], []
+        for d in docs:
+            document = None if d is None else decode(d)
+            hits.append(document is not None and matches(filters, document))
+            made.append(f(document) if hits[-1] else None)
+        return pd.DataFrame({"hit": pd.Series(hits, dtype="bool"), "doc": pd.Series(made, dtype="object")})
+
+    return run.asNondeterministic()  # else Spark may run it once for the filter and again for the result
+
+
+def find_documents(df: DataFrame, query: dict | QuerySpec, tie: str = "_seq", read: Callable[[dict], object] | None = None, returns: str = "binary") -> DataFrame:
+    """Filter, sort, slice and project rows (doc, …, tie) of BSON documents; `doc` becomes what read() makes of each, of type `returns`, if given."""
     spec = query if isinstance(query, QuerySpec) else parse_query(query)
+
+    def made(document: dict) -> object:
+        document = project(spec.projection, document)
+        return encode(document) if read is None else read(document)
+
+    changes = spec.projection is not None or read is not None
+    if changes and spec.filters and spec.sort is None and not spec.has_sector:
+        found = df.withColumn("__found", _found(spec.filters, made, returns)(F.col("doc"))).where("__found.hit")
+        return found.withColumn("doc", F.col("__found.doc")).drop("__found")
     out = df.where(match_column(spec.filters)) if spec.filters else df
     if spec.sort is not None or spec.has_sector:
         names = out.columns
@@ -94,22 +118,29 @@ def find_documents(df: DataFrame, query: dict | QuerySpec, tie: str = "_seq") ->
             by = [missing.asc(), F.col("__key").asc() if spec.sort.ascending else F.col("__key").desc()]
             order = [*by, *order]
         out = sliced(out.orderBy(*order), spec.offset, spec.limit).select(*names)
-    if spec.projection is not None:
-        picked = _batched(lambda d: encode(project(spec.projection, d)), "binary")
-        out = out.withColumn("doc", picked(F.col("doc")))
+    if changes:
+        out = out.withColumn("doc", _batched(made, returns)(F.col("doc")))
     return out
 
 
-def updated_documents(df: DataFrame, stages: tuple[Stage, ...], now: dt.datetime) -> DataFrame:
-    return df.withColumn("doc", _batched(lambda d: encode(apply_stages(stages, d, now)), "binary")(F.col("doc")))
+def _identified(f: Callable[[dict], dict]) -> Callable:
+    """A struct of the document that f returns and its _id as BSON of its own. One step makes both: every step on its own is one more Python process a core."""
+
+    @F.pandas_udf("doc binary, _id binary")
+    def run(docs: pd.Series) -> pd.DataFrame:
+        made = [None if d is None else f(decode(d)) for d in docs]
+        return pd.DataFrame({"doc": pd.Series([None if m is None else encode(m) for m in made], dtype="object"), "_id": pd.Series([None if m is None else encode({"_id": m.get("_id")}) for m in made], dtype="object")})
+
+    return run
 
 
-def id_column(doc: str = "doc") -> Column:
-    """The _id of each document as BSON of its own."""
-    return _batched(lambda d: encode({"_id": d.get("_id")}), "binary")(F.col(doc))
+def updated_documents(df: DataFrame, stages: tuple[Stage, ...], now: dt.datetime) -> DataFrame:
+    """Rows (doc, _id, …) with the documents put through the stages, and the _id of what comes out."""
+    made = _identified(lambda d: apply_stages(stages, d, now))(F.col("doc"))
+    return df.withColumn("__made", made).withColumns({"doc": F.col("__made.doc"), "_id": F.col("__made._id")}).drop("__made")
 
 
-def with_ids(doc: str = "doc") -> Column:
-    """Documents checked as BSON, with an _id made for those without; a broken one stops the job."""
-    made = _batched(lambda d: encode(d if "_id" in d else {**d, "_id": ObjectId()}), "binary")
-    return made.asNondeterministic()(F.col(doc))  # else Spark may run it once for every use
+def with_ids(df: DataFrame) -> DataFrame:
+    """(doc, _id): documents checked as BSON, with an _id made for those without; a broken one stops the job."""
+    made = _identified(lambda d: d if "_id" in d else {**d, "_id": ObjectId()})
+    return df.select(made.asNondeterministic()(F.col("doc")).alias("__made")).select("__made.doc", "__made._id")  # else Spark may run it once for every use

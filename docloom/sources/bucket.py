@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,7 +102,8 @@ class Bucket:
     def _rows(self, state: V.State, files: list[str] | None = None) -> DataFrame:
         names = state.files if files is None else files
         if not names:
-            return self.spark.createDataFrame([], state.struct)
+            # plain nulls of no row: the optimizer drops what is asked of them, where an empty list would start Python workers
+            return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.struct.fields])
         return self.spark.read.schema(state.struct).parquet(*[self.files.full(n) for n in names])
 
     @property
@@ -112,14 +114,16 @@ class Bucket:
     def count(self) -> int:
         return (self._open.state if self._open else self.state).doc_count
 
-    def find(self, query: dict | None = None) -> DataFrame:
-        """The result of a query. Typed rows come as columns, others as a BSON column `doc` (see documents())."""
+    def find(self, query: dict | None = None, read: Callable[[dict], Any] | None = None, returns: str = "binary") -> DataFrame:
+        """The result of a query. Typed rows come as columns, others as a BSON column `doc` (see documents()), or what read() makes of each document, of type `returns`."""
         spec = parse_query(query or {})
         rows = self.df
         if spec.cursor is not None:
             rows, spec = self._past(rows, spec, query)
         if self.state.dynamic:
-            return D.find_documents(rows, spec, SEQ).select("doc")
+            return D.find_documents(rows, spec, SEQ, read, returns).select("doc")
+        if read is not None:
+            raise ValueError("read is for documents without a schema")
         return find(rows, spec, tie=(SEQ,), hidden=(SEQ,))
 
     def exists(self, query: dict | None = None) -> bool:
@@ -264,7 +268,8 @@ class Bucket:
             for p, n in counts:
                 before.append((p, base))
                 base += n
-            bases = F.broadcast(self.spark.createDataFrame(before, "__p long, __base long"))  # a row per written partition
+            table = pa.table({"__p": pa.array([p for p, _ in before], pa.int64()), "__base": pa.array([b for _, b in before], pa.int64())})
+            bases = F.broadcast(self.spark.createDataFrame(table))  # a row per written partition; an Arrow table needs no Python workers
             names = [n for n in state.struct.names if n not in (SEQ, *(["_id"] if state.dynamic else []))]
             doc = F.col("doc") if state.dynamic else F.struct(*names)
             size = F.octet_length(doc) if state.dynamic else F.octet_length(F.to_json(doc))
@@ -317,7 +322,7 @@ class Bucket:
         if self.state.dynamic:
             if not isinstance(docs, DataFrame):
                 docs = self.spark.createDataFrame([(bytearray(encode(d)),) for d in docs], "doc binary")
-            return docs.select(D.with_ids().alias("doc")).withColumn("_id", D.id_column())
+            return D.with_ids(docs)
         fields = T.StructType([f for f in struct.fields if f.name != SEQ])
         if not isinstance(docs, DataFrame):
             rows = [{k: v.raw if isinstance(v, ObjectId) else v for k, v in d.items()} for d in docs]
@@ -403,7 +408,7 @@ class Bucket:
         # insertion order of the old versions is the order of the new ones
         chosen = rows.where(match).orderBy(SEQ)
         if state.dynamic:
-            changed = D.updated_documents(chosen, stages, now).withColumn("_id", D.id_column())
+            changed = D.updated_documents(chosen, stages, now)
         else:
             changed = chosen
             for stage in stages:
